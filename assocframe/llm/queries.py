@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assocframe.llm import bpe
+from assocframe.llm import bpe, ngram_join
 
 
 def vocabulary_path() -> str:
@@ -22,8 +22,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=90)
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
