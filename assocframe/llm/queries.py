@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assocframe.llm import bpe, ngram_join
+from assocframe.llm import bpe, ngram_join, quality_rules
 
 
 def vocabulary_path() -> str:
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -27,7 +32,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join}
+    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
