@@ -66,11 +66,12 @@ def _covered(h: Column) -> Column:
 def rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """carry (doc_id, lang, source) and each text's n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    own = {"_w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "g1", "g2", "doc_spread", *_D}
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = F.filter(F.split(t, _WS), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     first = docs.select(
-        *(carry or ["doc_id", "lang", "source"]),
+        *[c for c in carry or ["doc_id", "lang", "source"] if c not in own],
         _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n"), _let(_shift_pair(h, 1), lambda a: _let(_shift_pair(a, 2), lambda b: _shift_pair(b, 4))).alias("h"))).alias("_w"),
         F.length(F.regexp_replace(t, _WS, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),

@@ -3,9 +3,9 @@ folder and derives the columns that are compared."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assocframe.llm import bpe, ngram_join, quality_rules
+from assocframe.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules, sharding
 
 
 def vocabulary_path() -> str:
@@ -31,9 +31,29 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), columns={"text_sha256": exact_dedup.digest(F.col("text"))})
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_bpe": op2_bpe,
+        "op3_ngram_join": op3_ngram_join,
+        "op5_mixing": op5_mixing,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_sharding": op7_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
