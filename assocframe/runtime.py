@@ -5,9 +5,13 @@ single-task sort."""
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -89,3 +93,33 @@ def positions(df: DataFrame, group: list[str], cell: list[str], within: list, na
     offsets = counts.select(*group, *cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = df.withColumn("_row", F.row_number().over(Window.partitionBy(*group, *cell).orderBy(*within)).cast("long"))
     return inside.join(offsets, [*group, *cell]).withColumn(name, F.col("_before") + F.col("_row")).drop("_before", "_row")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that Python
+    workers can import it wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="assocframe-zip-"))
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    with zipfile.ZipFile(at / "assocframe.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at / "assocframe.zip"))
+    _shipped.add(app)
+
+
+def shipping(query: Callable) -> Callable:
+    """A query of (spark, sf_dir) that ships the package first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
