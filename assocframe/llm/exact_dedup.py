@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assocframe.runtime import BROADCAST_ROWS, materialise, release, sized_join
+from assocframe.runtime import BROADCAST_ROWS, has_rows, materialise, release, sized_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = 128
@@ -45,19 +45,46 @@ def survivors(docs: DataFrame, text: str = "text", most: int = 10 * BROADCAST_RO
     return out.drop("_bytes", "_head")
 
 
-def dedup(docs: DataFrame, text: str = "text", columns: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size and kept of each row of docs, and the given
-    columns, computed in the same scan."""
-    made = {k: v for k, v in (columns or {}).items()}
-    scanned = materialise(survivors(docs, text).select("doc_id", "_print", *[v.alias(k) for k, v in made.items()]), "scanned")
-    groups = scanned.where("_print is not null").groupBy("_print").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = materialise(groups, "groups")
+def _groups(scanned: DataFrame) -> DataFrame:
+    """(_print, keep_id, group_size) of the groups of two rows or more."""
+    groups = scanned.where("_print is not null").groupBy("_print").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return materialise(groups.where("group_size > 1"), "groups")
+
+
+def _judged(scanned: DataFrame, groups: DataFrame) -> DataFrame:
+    """scanned with keep_id, group_size and kept."""
     joined = sized_join(scanned, groups, ["_print"], "left", ["doc_id"])
     alone = joined.where("group_size is null").withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long")).withColumn("kept", F.lit(True))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    others = joined.where(F.col("group_size").isNotNull() & ~stays).withColumn("kept", F.lit(False))
     # of rows that are equal and share the doc_id that stays, one stays
     first = F.row_number().over(Window.partitionBy("_print", "doc_id").orderBy(F.lit(0))) == 1
-    several = joined.where("group_size is not null").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & first)
-    return alone.unionByName(several).select("doc_id", "keep_id", "group_size", "kept", *made)
+    return alone.unionByName(others).unionByName(joined.where(F.col("group_size").isNotNull() & stays).withColumn("kept", first))
+
+
+def dedup(docs: DataFrame, text: str = "text", columns: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size and kept of each row of docs, and the given
+    columns, computed in the same scan."""
+    made = columns or {}
+    scanned = materialise(survivors(docs, text).select("doc_id", "_print", *[v.alias(k) for k, v in made.items()]), "scanned")
+    return _judged(scanned, _groups(scanned)).select("doc_id", "keep_id", "group_size", "kept", *made)
+
+
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that stay, with its columns. Texts are hashed once
+    more rather than shuffled."""
+    clash = {"_print", "keep_id", "group_size", "kept", "_bytes", "_head", "_twice"}.intersection(docs.columns)
+    plain = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
+    scanned = materialise(survivors(docs.select("doc_id", text), text).select("doc_id", "_print"), "scanned")
+    groups = _groups(scanned)
+    ties = has_rows(scanned.where("_print is not null").groupBy("_print", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    release(scanned)
+    rows = survivors(plain, text)
+    if ties:
+        out = _judged(rows, groups).where("kept")
+    else:
+        out = sized_join(rows, groups, ["_print"], "left", ["doc_id"]).where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return out.select(*[F.col(f"__{c}" if c in clash else c).alias(c) for c in docs.columns])
 
 
 def digest(text: Column) -> Column:
