@@ -9,7 +9,7 @@ from assocframe.runtime import has_rows, materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, label): label is the smallest node that can be
+    """(a, b) links to a table (node, label, old): label is the smallest node that can be
     reached. Only nodes with a link are listed. Each round takes the least
     label among the neighbours and then the label of that label, so chains
     shorten by more than half."""
@@ -24,4 +24,4 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if not has_rows(labels.where("old != label")):
             release(both)
-            return labels.select("node", "label")
+            return labels

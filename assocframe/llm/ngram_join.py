@@ -12,13 +12,15 @@ one of its cells. Each candidate is then verified on the whole sets.
 
 Sets that are equal form one class; only classes are joined. Signatures whose
 classes are the same are one candidate group. Within a group every class is
-first held against its smallest one. A group whose classes then share one
-component is settled, as further links can't change the result. From the rest,
-small groups are compared across components; in large ones a few more pivots
-at a time are held against all classes of other components and then leave the
-group, until it is settled or has no pairs left. So no group is collected and
-no pair that could join two components is left out. links() compares all pairs
-of a group by the same rounds, without settling.
+first held against its smallest one; a group whose classes then share one
+component is settled, as further links can't change the result. In the others
+the classes outside the group's largest component are compared with all classes
+of other components, in tiles of bounded size, by sketches: a sketch has a byte
+for each cell of a partition of the elements, and sets differ in at least as
+many elements as their sketches differ in bytes. What this bound can't rule out
+is verified. So no group is collected, no group's pairs are emitted, and no
+pair that could join two components is left out. jaccard_links() gives every
+link between classes by the same tiles, without settling.
 
 Nulls and texts without words have empty sets and link with nothing. Rows that
 share a doc_id, and are no copies of a smaller one's, count as one document
@@ -38,10 +40,8 @@ from assocframe.llm.components import components
 from assocframe.llm.text import buffers, byte_values, mix, shingles, slices, span_hashes, within, word_spans
 from assocframe.runtime import BROADCAST_ROWS, has_rows, materialise, release, sized_join
 
-#: Groups of up to so many classes are compared in one round.
-SMALL = 16
-#: Pivots of a larger group that are held against its classes in a round.
-PIVOTS = 8
+#: Classes of a group on either side of a tile.
+TILE = 512
 _CELLS = 3
 
 
@@ -95,18 +95,35 @@ def signatures(sets: np.ndarray, at: np.ndarray, threshold: int) -> tuple[np.nda
     return np.concatenate(out), np.concatenate(owner)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """A byte for each of C cells, C the power of two from the set's size: the
+    exclusive or of a byte of its elements. Halves can be folded."""
+    cells = 1 << max(6, int(len(elements) - 1).bit_length() if len(elements) else 6)
+    x = mix(elements + np.uint64(0x2545F4914F6CDD1D))
+    out = np.zeros(cells, np.uint8)
+    np.bitwise_xor.at(out, (x & np.uint64(cells - 1)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
+    return out.tobytes()
+
+
+def folded(raw: bytes | memoryview, cells: int) -> np.ndarray:
+    v = np.frombuffer(raw, np.uint8)
+    while len(v) > cells:
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return v
+
+
 def _sets_of(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """(doc_id, elements): the sets as bytes of sorted 64-bit integers."""
+    """(doc_id, size, sketch, elements): the elements as bytes of sorted 64-bit
+    integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 sets, at = text_sets(part, text, n)
-                raw = sets.tobytes()
-                made = pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), made], names=["doc_id", "elements"])
+                each = [sets[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array([sketch(e) for e in each], pa.binary()), pa.array([e.tobytes() for e in each], pa.binary())], names=["doc_id", "size", "sketch", "elements"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, elements binary")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, size long, sketch binary, elements binary")
 
 
 def _sizes(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -166,73 +183,125 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _possible(tiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) that their sketches don't rule out, from rows (tile, node,
+    label, size, sketch, lead) that lie together by tile: leads against all
+    rows of their tile that have another label."""
+
+    def compare(node: np.ndarray, label: np.ndarray, size: np.ndarray, raw: list, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        heads, rest = np.flatnonzero(lead), np.flatnonzero(~lead)
+        if not len(heads) or not len(rest):
+            return node[:0], node[:0]
+        cells = min(len(r) for r in raw)
+        m = np.stack([folded(raw[i], cells) for i in rest])
+        out_a, out_b = [], []
+        for h in heads:
+            open_ = (label[rest] != label[h]) & (100 * np.minimum(size[rest], size[h]) >= threshold * np.maximum(size[rest], size[h]))
+            at = np.flatnonzero(open_)
+            if len(at):
+                apart = (m[at] != folded(raw[h], cells)).sum(axis=1)
+                hit = rest[at[apart * (100 + threshold) <= (100 - threshold) * (size[rest[at]] + size[h])]]
+                out_a.append(np.minimum(node[hit], node[h]))
+                out_b.append(np.maximum(node[hit], node[h]))
+        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (node[:0], node[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def told(t: pa.Table) -> pa.RecordBatch:
+            tile = np.asarray(t.column("tile"))
+            cut = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile))
+            node, label, size, lead = (np.asarray(t.column(c)) for c in ("node", "label", "size", "lead"))
+            raw = [v.as_buffer() for v in t.column("sketch")]
+            found = [compare(node[x:y], label[x:y], size[x:y], raw[x:y], lead[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            tile = np.asarray(t.column("tile"))
+            last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if (tile != tile[-1]).any() else 0
+            if last:
+                yield told(t.slice(0, last))
+            rest = t.slice(last)
+        if rest is not None:
+            yield told(rest)
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
+
+
 class Join:
     """Classes, candidate groups and verified links of one table of documents."""
 
     def __init__(self, docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text"):
         self.threshold = threshold
         found = materialise(_sizes(docs, text, n), "sets")
-        twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        twice = materialise(twice.drop("most"), "classes")
-        self.members = materialise(
-            sized_join(found, twice, ["h1", "h2"], "left", ["doc_id"]).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("class")), "members"
-        )
+        twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        twice = materialise(twice.drop("n"), "classes")
+        named = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+        self.members = materialise(sized_join(found, twice, ["h1", "h2"], "left", ["doc_id"]).select("doc_id", "n_shingles", named.alias("class")), "members")
         release(found, twice)
         by_sig = Window.partitionBy("sig")
         met = _signed(docs, text, n, threshold).select("node", F.bit_xor(F.xxhash64("node")).over(by_sig).alias("grp"), F.min("node").over(by_sig).alias("lo"), F.max("node").over(by_sig).alias("hi"))
         raw = materialise(met.where("lo < hi").select("grp", "node").distinct(), "met")
-        nodes = materialise(raw.select("node").distinct(), "nodes")
-        known = materialise(sized_join(self.members.where("doc_id is not null and n_shingles > 0"), nodes.select(F.col("node").alias("doc_id")), ["doc_id"]).select(F.col("doc_id").alias("node"), "class").distinct(), "known")
+        nodes = materialise(raw.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+        known = materialise(sized_join(self.members.where("doc_id is not null and n_shingles > 0"), nodes, ["doc_id"]).select(F.col("doc_id").alias("node"), "class").distinct(), "known")
         grouped = materialise(raw.join(known, "node").select("grp", F.col("class").alias("node")).distinct(), "grouped")
         # groups of the same classes are one group
-        prints = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("print")).where("n > 1")
-        self.groups = materialise(grouped.join(prints, "grp").select(F.col("print").alias("grp"), "node").distinct(), "groups")
+        prints = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("print"), F.min("node").alias("least")).where("n > 1")
+        self.groups = materialise(grouped.join(prints, "grp").select(F.col("print").alias("grp"), "node", "least").distinct(), "groups")
         ids = materialise(self.groups.select(F.col("node").alias("doc_id")).distinct(), "candidates")
         self.sets = materialise(sized_join(docs.select("doc_id", text), ids, ["doc_id"], most=5 * BROADCAST_ROWS).transform(lambda d: _sets_of(d, text, n)), "elements")
         release(raw, nodes, known, grouped, ids)
 
-    def rounds(self, settle: bool) -> DataFrame:
-        """Verified links between classes. With settle, groups whose classes
-        are in one component already are left."""
-        groups, links = self.groups, None
-        while has_rows(groups):
-            if settle and links is not None:
-                labels = components(links)
-                marked = groups.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
-            else:
-                labels, marked = None, groups.withColumn("label", F.col("node"))
-            marked = materialise(marked, "labelled")
-            sizes = marked.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-            open_ = materialise(marked.join(sizes.select("grp", "n"), "grp"), "open")
-            release(marked, *([labels] if labels else []), *([groups] if groups is not self.groups else []))
-            most = SMALL if links is not None else 0
-            large = open_.where(F.col("n") > most)
-            rank = F.row_number().over(Window.partitionBy("grp").orderBy("node"))
-            pivots = materialise(large.withColumn("r", rank).where(F.col("r") <= (PIVOTS if links is not None else 1)).select("grp", F.col("node").alias("a"), F.col("label").alias("la")), "pivots")
-            few = open_.where(F.col("n") <= most)
-            tried = large.join(pivots, "grp").where("label != la").unionByName(few.join(few.select("grp", F.col("node").alias("a"), F.col("label").alias("la")), "grp").where("label != la and a < node"))
-            pairs = materialise(tried.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-            found = _verify(pairs, self.sets, self.threshold)
-            both = materialise(found if links is None else found.union(links).distinct(), "links")
-            groups = materialise(large.select("grp", "node").join(pivots.select("grp", F.col("a").alias("node")), ["grp", "node"], "left_anti"), "groups")
-            release(open_, pivots, pairs, *([links] if links is not None else []))
-            links = both
-        if groups is not self.groups:
-            release(groups)
-        return links if links is not None else self.groups.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    def stars(self) -> DataFrame:
+        """Links between each group's classes and its smallest one."""
+        pairs = self.groups.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+        return materialise(_verify(pairs, self.sets, self.threshold), "stars")
+
+    def across(self, labels: DataFrame | None) -> DataFrame:
+        """Links between classes of a group whose labels (node, label) differ;
+        without labels, all links."""
+        if labels is None:
+            marked = self.groups.select("grp", "node", F.col("node").alias("label"))
+        else:
+            marked = self.groups.join(labels.select("node", "label"), "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
+        marked = materialise(marked, "labelled")
+        parts = marked.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+        sizes = parts.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("label").alias("major"))).alias("top"), F.count(F.lit(1)).alias("labels"))
+        sizes = sizes.where("labels > 1").select("grp", F.expr("int((n + {0} - 1) div {0})".format(TILE)).alias("blocks"), F.expr("int((n - top.n + {0} - 1) div {0})".format(TILE)).alias("leads"), "top.major")
+        open_ = marked.join(sizes, "grp")
+        # a row for each tile in which a class is compared, and in which it leads
+        block = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 30))
+        all_ = open_.select("grp", "node", "label", F.lit(False).alias("lead"), (block(0) % F.col("blocks")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("leads").cast("long") - 1)).alias("p"))
+        lead = open_.where("label != major").select("grp", "node", "label", F.lit(True).alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("m"), (block(1) % F.col("leads")).alias("p"))
+        rows = all_.unionByName(lead).select(F.xxhash64("grp", "m", "p").alias("tile"), "node", "label", "lead")
+        tiles = rows.join(self.sets.select(F.col("doc_id").alias("node"), "size", "sketch"), "node").repartition("tile").sortWithinPartitions("tile")
+        pairs = materialise(_possible(tiles.select("tile", "node", "label", "size", "sketch", "lead"), self.threshold), "possible")
+        out = materialise(_verify(pairs, self.sets, self.threshold), "across")
+        release(marked, pairs)
+        return out
+
+    def close(self) -> None:
+        release(self.groups, self.sets)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest
     doc_id that can be reached by links, itself included)."""
     j = Join(docs, n, threshold, text)
-    links = j.rounds(settle=True)
-    if has_rows(links):
-        labels = components(links)
-        out = sized_join(j.members, labels.withColumnRenamed("node", "class"), ["class"], "left", ["doc_id"])
-    else:
-        out = j.members.withColumn("label", F.col("class"))
-    release(j.groups, j.sets)
+    stars = j.stars()
+    labels = components(stars)
+    more = j.across(labels)
+    if has_rows(more):
+        release(labels)
+        labels = components(stars.union(more))
+    j.close()
+    release(stars, more)
+    out = sized_join(j.members, labels.select(F.col("node").alias("class"), "label"), ["class"], "left", ["doc_id"])
     return out.select("doc_id", "n_shingles", F.coalesce("label", "class").alias("component_id"))
 
 
@@ -240,4 +309,6 @@ def jaccard_links(docs: DataFrame, n: int = 3, threshold: int = 90, text: str =
     """All links (a, b) between classes of equal sets, each named by its
     smallest doc_id, and the membership (doc_id, n_shingles, class)."""
     j = Join(docs, n, threshold, text)
-    return j.rounds(settle=False), j.members
+    links = j.across(None)
+    j.close()
+    return links, j.members
