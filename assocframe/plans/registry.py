@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from assocframe.plans import base, join_queries, model_queries, profile_queries, scalar_queries  # noqa: F401  each module registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
