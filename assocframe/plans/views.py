@@ -12,7 +12,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "lineitem",
         {
             "job_index": "CAST(l_suppkey % 20 AS INT)",
-            "row_id": "CAST(l_orderkey AS BIGINT) * 10000000000 + l_partkey * 100000 + l_linenumber * 10000 + (l_suppkey % 1000) * 10 + CAST(floor(l_tax * 100) AS BIGINT)",
+            "row_id": "CAST(l_orderkey AS BIGINT) * 1000000000000 + l_partkey * 10000000 + l_linenumber * 1000000 + (l_suppkey % 1000) * 1000 + CAST(floor(l_tax * 100) AS BIGINT) * 100 + CAST(l_quantity AS BIGINT)",
             "SNPID": "CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 7 = 0 THEN concat('chr', CAST(l_partkey % 22 + 1 AS VARCHAR(4)), ':', CAST(l_orderkey AS VARCHAR(20))) ELSE concat('rs', CAST(l_partkey AS VARCHAR(20))) END",
             "CHR": "CASE WHEN l_partkey % 24 + 1 = 23 THEN 'X' WHEN l_partkey % 24 + 1 = 24 THEN 'MT' ELSE CAST(l_partkey % 24 + 1 AS VARCHAR(4)) END",
             "POS": "CAST((l_partkey * 7919) % 50000000 + 1 AS BIGINT)",

@@ -5,6 +5,7 @@ single-task sort."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -91,8 +92,22 @@ def positions(df: DataFrame, group: list[str], cell: list[str], within: list, na
     counts = df.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, *cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = df.withColumn("_row", F.row_number().over(Window.partitionBy(*group, *cell).orderBy(*within)).cast("long"))
-    return inside.join(offsets, [*group, *cell]).withColumn(name, F.col("_before") + F.col("_row")).drop("_before", "_row")
+    inside = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, *cell).orderBy(*within)).cast("long"))
+    return inside.join(offsets, [*group, *cell]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_before", "_nth")
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within, tables are handed to Python workers in batches of so many rows:
+    for rows with large values, which count several times in a worker's and an
+    executor's memory. Only what is materialised within is concerned."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 _shipped: set[str] = set()
