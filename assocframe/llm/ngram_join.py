@@ -38,10 +38,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from assocframe.llm.components import components
 from assocframe.llm.text import buffers, byte_values, mix, shingles, slices, span_hashes, within, word_spans
-from assocframe.runtime import BROADCAST_ROWS, has_rows, materialise, release, sized_join
+from assocframe.runtime import BROADCAST_ROWS, batches_of, has_rows, materialise, release, sized_join
 
 #: Classes of a group on either side of a tile.
 TILE = 512
+#: Rows handed to a Python worker at once; they may hold two sets each.
+BATCH_ROWS = 500
 _CELLS = 3
 
 
@@ -292,10 +294,11 @@ class Join:
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest
     doc_id that can be reached by links, itself included)."""
-    j = Join(docs, n, threshold, text)
-    stars = j.stars()
-    labels = components(stars)
-    more = j.across(labels)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        j = Join(docs, n, threshold, text)
+        stars = j.stars()
+        labels = components(stars)
+        more = j.across(labels)
     if has_rows(more):
         release(labels)
         labels = components(stars.union(more))
@@ -308,7 +311,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: int = 90, text: s
 def jaccard_links(docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links (a, b) between classes of equal sets, each named by its
     smallest doc_id, and the membership (doc_id, n_shingles, class)."""
-    j = Join(docs, n, threshold, text)
-    links = j.across(None)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        j = Join(docs, n, threshold, text)
+        links = j.across(None)
     j.close()
     return links, j.members

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -50,8 +50,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             np.multiply.accumulate(p, out=p)
-            if size > 4 * SLICE_BYTES:
-                return (p, powers_of(_INVERSE, size))
+            if size > 4 * SLICE_BYTES:  # of a very long text; not kept
+                return p, powers_of(_INVERSE, size)
             _powers[k] = p
     return _powers["up"], _powers["down"]
 
