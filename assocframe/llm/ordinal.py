@@ -7,8 +7,8 @@ tail probabilities.
 
 Features are 64-bit hashes of words (folded to lower case), of the first four
 characters of longer words, which inflected forms share, and of word shapes:
-the classes of a word's characters, runs cut to two. Values are presence or
-share of the text's words. Of the features in at least `min_docs` training
+the classes of a word's characters, runs cut to two. Values are presence, or
+the root of the share of the text's words. Of the features in at least `min_docs` training
 rows, those are kept whose score test against the model without features
 exceeds `z`; hashes aren't folded into buckets.
 
@@ -84,7 +84,7 @@ def features(part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, n
 @dataclass(frozen=True)
 class Model:
     """keys: sorted feature hashes; weights; thresholds, ascending; share:
-    whether values are shares of the words or presence."""
+    whether values are roots of shares of the words, or presence."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -99,10 +99,9 @@ class Model:
         spot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         hit = self.keys[spot] == hashes
         d, f = owner[hit], spot[hit]
-        if self.share:
-            return np.bincount(d, self.weights[f] / count[d], len(count))
-        pair = np.unique(d * len(self.keys) + f)
-        return np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], len(count))
+        pair, times = np.unique(d * len(self.keys) + f, return_counts=True)
+        d, f = pair // len(self.keys), pair % len(self.keys)
+        return np.bincount(d, self.weights[f] * (np.sqrt(times / count[d]) if self.share else 1.0), len(count))
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
@@ -131,7 +130,7 @@ def collect_sample(rows: DataFrame, text: str, share: bool) -> tuple[np.ndarray,
                 for words, a, b in zip(count.tolist(), order[:-1].tolist(), order[1:].tolist(), strict=True):
                     w, n = np.unique(hashes[a:b], return_counts=True)
                     raw.append(w.tobytes())
-                    vals.append((n / words if share else np.ones(len(n))).astype("<f4").tobytes())
+                    vals.append((np.sqrt(n / words) if share else np.ones(len(n))).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("_grade").cast(pa.int32()), pa.array(raw, pa.binary()), pa.array(vals, pa.binary())], names=["doc_id", "grade", "keys", "vals"])
 
     got = rows.mapInArrow(run, "doc_id long, grade int, keys binary, vals binary").toArrow().sort_by([("doc_id", "ascending")])

@@ -2,7 +2,7 @@
 
 A rating is 0 where the label finds the quality low, 1 where it is high but the
 text is labelled toxic, and 2 where it is high and the text is not. Hashed words
-and word shapes, as shares of the text's words, have one set of weights; the
+and word shapes, as roots of shares of the text's words, have one set of weights; the
 ratings have ordered thresholds (see ordinal). The result has the expected
 grade and the tail probabilities that selection uses.
 
@@ -28,7 +28,7 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, **options) -> ordinal.Model:
     keys, vals, at, grades, _ = ordinal.collect_sample(ordinal.sample_rows(docs, ratings(labels), text, "rating", sample), text, share=True)
-    return ordinal.fit(keys, vals, at, grades.astype(int), GRADES, share=True, **options)
+    return ordinal.fit(keys, vals, at, grades.astype(int), GRADES, share=True, **({"ridge": 1e-2, "z": 8.0} | options))
 
 
 def score(docs: DataFrame, model: ordinal.Model, text: str = "text", cut: float = 0.5) -> DataFrame:
