@@ -11,9 +11,14 @@ from assocframe.llm.queries import vocabulary_path
 from assocframe.runtime import BROADCAST_ROWS, materialise, release, ship, sized_join
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with all columns in one, so that none clashes with an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang", "source")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and are no outliers of their group."""
-    return quality_rules.quality(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    return quality_rules.quality(packed(docs), carry=["_row"]).where("kept").select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +37,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    found = mixing.mix(docs, carry=docs.columns)
-    return found.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    found = mixing.mix(packed(docs), carry=["_row"]).where("copies > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
