@@ -146,3 +146,24 @@ def test_joins_by_size_agree(spark):
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
     small, large = (sorted(sized_join(left, right, ["k"], "left", ["id"], most=n).collect()) for n in (10, 1))
     assert small == large and len(small) == 100
+
+
+def test_significance(spark):
+    from assocframe.operators import tests_of_significance as ts
+
+    assert ts.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
+    assert ts.t_two_sided(12.706204736, 1) == pytest.approx(0.05, abs=1e-8)
+    assert ts.chi2_tail(9.487729, 4) == pytest.approx(0.05, abs=1e-6)
+    df = spark.createDataFrame([("a", v) for v in (1.0, -2.0, 3.0, 4.0, 5.0, 0.0)], "k string, x double")
+    r = ts.signed_ranks(df, ["k"], "x").first()
+    assert (r.n, r.w) == (5, 13.0)
+    r = ts.one_sample_t(df, ["k"], "x").first()
+    assert r.t == pytest.approx(1.694, abs=1e-3) and 0.1 < r.p < 0.2
+
+
+def test_lift_of_edges(spark):
+    from assocframe.operators import tests_of_significance as ts
+
+    blocks = spark.createDataFrame([("1", 100, 2_500_000, "1", 5)], "CHR string, start long, end long, to_chr string, shift long")
+    places = spark.createDataFrame([("1", 99), ("1", 100), ("1", 2_499_999), ("1", 2_500_000), ("2", 100)], "CHR string, POS long")
+    assert {(r.CHR, r.POS): r.to_pos for r in ts.lift(places, blocks).collect()} == {("1", 99): None, ("1", 100): 105, ("1", 2_499_999): 2_500_004, ("1", 2_500_000): None, ("2", 100): None}
