@@ -47,10 +47,16 @@ _grouped("agg_info_by_maf", p.info_by_maf, f"""round(avg(INFO) FILTER (WHERE lea
 _grouped("agg_chromosome", p.chromosomes, f"""count(*) FILTER (WHERE CHR NOT IN ('X', 'MT')) AS autosomal, count(*) FILTER (WHERE CHR = 'X') AS chr_x, 0 AS chr_y, count(*) FILTER (WHERE CHR = 'MT') AS chr_mt,
  0.0 AS invalid_chr_pct, {pct("CHR IN ('X', 'MT')")} AS non_autosomal_pct, 22 - count(DISTINCT CHR) FILTER (WHERE CHR NOT IN ('X', 'MT')) AS missing_autosomes""")
 
-@query("agg_effect_consistency")
+@query("agg_effect_consistency", f"""SELECT job_index, {pct('"OR" <= 0')} AS or_nonpositive_pct, {pct('"OR" > 100 OR "OR" < 0.01')} AS or_extreme_pct, {pct('abs(BETA) > 10')} AS beta_extreme_pct,
+ round(CASE WHEN count(Z) >= 3 THEN covar_samp(Z, b) / nullif(stddev_samp(Z) * stddev_samp(b), 0) END, 8) AS z_correlation, {pct('abs(Z - b) <= 0.01', 'Z IS NOT NULL')} AS z_concordance_pct FROM (SELECT *, CASE WHEN Z IS NOT NULL THEN BETA / SE END AS b FROM variants) GROUP BY job_index""")
 def agg_effect_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: SQL has no complementary error function here."""
-    return rounded(p.profile(_v(spark, d), p.effects()), 5)
+    return rounded(p.profile(_v(spark, d), p.effects()[:5]))
+
+
+@query("agg_p_consistency")
+def agg_p_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Of P with Z: rows only, as DuckDB has no complementary error function."""
+    return rounded(p.profile(_v(spark, d), p.effects()[5:]), 5)
 
 
 @query("agg_effect_type", "SELECT job_index, CASE WHEN count(BETA) > 0 THEN 'BETA' WHEN count(\"OR\") > 0 THEN 'OR_requires_log_conversion' WHEN count(Z) > 0 THEN 'Z' ELSE 'missing_effect_column' END AS effect_type FROM variants GROUP BY job_index")

@@ -22,7 +22,7 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 
 _own: dict[str, str] = {}
-_kept: dict[int, str] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,22 +40,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, tag: str, spark: SparkSession | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the
-    lineage and survives lost executors."""
+    lineage and survives lost executors. What release() hasn't deleted goes when
+    the driver ends."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_clear)
+    _tables[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _kept[id(out)] = path
+    out._table = path
     return out
 
 
+def _delete(path: str) -> None:
+    spark = _tables.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clear() -> None:
+    for path in list(_tables):
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialise() that no later read needs."""
     for t in tables:
-        path = _kept.pop(id(t), None)
-        if path:
-            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        path = getattr(t, "__dict__", {}).get("_table")
+        if path in _tables:
+            _delete(path)
 
 
 def has_rows(df: DataFrame) -> bool:
