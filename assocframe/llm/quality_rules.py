@@ -13,7 +13,8 @@ smaller determinant wins. Distances are binned, and each step's shuffle holds
 one row of sums per group and bin, so a group of any size costs the same and no
 group meets in one task. A floor on each scale keeps the scatter regular where
 a statistic is constant. A group with fewer than `least` rows takes its
-language's estimate, and a language with fewer all rows'.
+language's estimate, and a language with fewer all rows'; where even those are
+fewer, no row is rejected by its distance.
 
 A null text has no words. Nulls in language and source are values of their own.
 Rows are judged one by one, so repeated rows and ties don't matter; an empty
@@ -78,8 +79,7 @@ def rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     repeat = _let(F.col("_w.h"), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(0))
-    # rand() keeps the optimiser from copying these costly expressions into each place that uses them
-    out = first.withColumn("n_words", F.when(F.rand() < 2, F.col("_w.n"))).withColumn("n_repeat_words", repeat.cast("long")).drop("_w")
+    out = first.withColumn("n_words", F.col("_w.n")).withColumn("n_repeat_words", repeat.cast("long")).drop("_w")
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -240,8 +240,10 @@ def judge(counted: DataFrame, found: DataFrame, cut: float = 0.999999) -> DataFr
     out = out.join(F.broadcast(found.where("level = 0").select(F.struct(*fields).alias("e0")).limit(1)), F.lit(True), "left")
     out = out.withColumn("_e", F.coalesce("e2", "e1", "e0")).select(*counted.columns, *_D, "_e.*")
     far = F.when(~F.col("base_failed") & F.col("m_0").isNotNull(), _distance([F.col(c) for c in _D]) / F.col("scale"))
-    out = out.withColumn("distance", far)
-    return out.select(*counted.columns, "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(cut, len(_D)))).alias("kept"))
+    # one comparison, which needs both sides of the joins: as a conjunction, a filter on it would be split, and
+    # its part on the counts moved below, where they would be made once more
+    verdict = F.coalesce(F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(far), F.lit(0.0)) <= chi2_quantile(cut, len(_D))
+    return out.select(*counted.columns, far.alias("distance"), verdict.alias("kept"))
 
 
 def quality(docs: DataFrame, text: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
