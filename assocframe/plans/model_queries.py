@@ -8,6 +8,7 @@ from assocframe.functions import stats as st
 from assocframe.operators import dataset as ds, profile as p, prs, ranking as rk, report as rp
 from assocframe.plans.base import query, rounded
 from assocframe.plans.views import view
+from assocframe.runtime import materialise
 
 
 def _f(spark: SparkSession, d: str) -> DataFrame:
@@ -376,7 +377,7 @@ def plink_extract(spark, d):
 
 
 def _ld(spark: SparkSession, d: str) -> DataFrame:
-    return prs.ld_pairs(dosages(spark, d), view(spark, d, "target").select("SNPID", "CHR", "POS"), 200_000)
+    return materialise(prs.ld_pairs(dosages(spark, d), view(spark, d, "target").select("SNPID", "CHR", "POS"), 200_000), "ld")
 
 
 @query("plink_clump")
