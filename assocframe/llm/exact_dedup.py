@@ -27,7 +27,7 @@ def folded(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def survivors(docs: DataFrame, text: str = "text", most: int = 10 * BROADCAST_ROWS) -> DataFrame:
+def survivors(docs: DataFrame, text: str = "text", most: int = 5 * BROADCAST_ROWS) -> DataFrame:
     """docs and _print: the hash of the whole text for rows whose length and
     prefix occur twice or more, else null."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
