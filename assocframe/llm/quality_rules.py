@@ -84,10 +84,11 @@ def rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -
 
 
 def statistics() -> list[Column]:
-    """The transformed statistics of rules()'s columns."""
-    words, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
+    """The transformed statistics of rules()'s columns; defined, if meaningless,
+    for texts without words."""
+    words, chars = (F.greatest(F.col(c).cast("double"), F.lit(1.0)) for c in ("n_words", "word_chars"))
     return [
-        F.log1p(words).alias("s_len"),
+        F.log1p(F.col("n_words").cast("double")).alias("s_len"),
         F.log(chars / words).alias("s_word"),
         F.asinh(100 * F.col("n_symbols") / chars).alias("s_sym"),
         F.least(10 * F.col("n_dup_lines") / words, F.lit(1.0)).alias("s_dup"),
