@@ -95,20 +95,22 @@ class Rollup:
         self.totals().write.mode("overwrite").parquet(f"{self.path}/generations/{name}")
 
 
-#: What the versions of the query count (patterns that all engines read alike).
+#: What the versions of the query count: words, runs without white space and
+#: ASCII punctuation, and letters, digits and other characters.
 WORDS = r"[^\x20\x09-\x0D]+"
-RUNS = r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+"
+RUNS = r"[^\s\p{Punct}]+"
 PIECES = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
 
 
 def counts(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
-    """doc_id, source, lang and the number of matches of each pattern."""
+    """doc_id, source, lang and the number of matches of each pattern, which may
+    not match the empty text: what lies between matches is one more."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select("doc_id", "source", "lang", *[F.regexp_count(t, F.lit(p)).cast("long").alias(k) for k, p in patterns.items()])
+    return docs.select("doc_id", "source", "lang", *[(F.size(F.split(t, p)) - 1).cast("long").alias(k) for k, p in patterns.items()])
 
 
 ORACLE_SQL = rf"""
-WITH c AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{RUNS}')) AS runs, len(regexp_extract_all(coalesce(text, ''), '{PIECES}')) AS pieces FROM documents
+WITH c AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D!-/:-@\[-`{{-~]+')) AS runs, len(regexp_extract_all(coalesce(text, ''), '{PIECES}')) AS pieces FROM documents
   WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
 SELECT source, lang, 'words-1' AS version, count(*) AS docs, CAST(sum(runs) AS BIGINT) AS tokens FROM c GROUP BY source, lang
 UNION ALL SELECT source, lang, 'pieces-1', count(*), CAST(sum(pieces) AS BIGINT) FROM c GROUP BY source, lang
