@@ -27,10 +27,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, by the join's contract (three words, 0.9), the one
-    with the smallest doc_id."""
+    """Of linked documents (five words, 0.8), the one with the smallest doc_id."""
     ship(spark)
-    found = ngram_join.jaccard_components(docs, n=3, threshold=90)
+    found = ngram_join.jaccard_components(docs, n=5, threshold=80)
     gone = materialise(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     return sized_join(docs, gone, ["doc_id"], "left_anti", most=5 * BROADCAST_ROWS)
 
