@@ -219,11 +219,12 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
-    """Encode each text, decode its ids, and keep counts and digests only: the
-    ids as little-endian unsigned 32-bit integers, the decoded text in UTF-8.
-    Ids and texts don't leave the worker."""
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20, ids: str | None = None) -> DataFrame:
+    """Encode each text, decode its ids, and keep counts and digests: the ids as
+    little-endian unsigned 32-bit integers, the decoded text in UTF-8. The ids
+    themselves leave the worker only under a name given for their column."""
     kind = dict(docs.dtypes)[key]
+    names = [key, *([ids] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, v = encoder(path), vocabulary(path)
@@ -231,11 +232,12 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             for part in slices(batch, text, slice_bytes):
                 flat, at = e.encode(part.column(text).fill_null("").to_pylist())
                 raw = flat.astype("<u4").tobytes()
-                ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                told = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 back = [hashlib.sha256(t.encode()).hexdigest() for t in v.decode(flat, at)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(np.diff(at), pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                made = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))] if ids else []
+                yield pa.RecordBatch.from_arrays([part.column(key), *made, pa.array(np.diff(at), pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {f'`{ids}` array<int>, ' if ids else ''}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

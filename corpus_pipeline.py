@@ -41,9 +41,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of each document's ids and of the text they give."""
+    """Each document's ids, with counts and digests of them and of the text that
+    they give."""
     ship(spark)
-    return bpe.digests(docs, vocabulary_path())
+    return bpe.digests(docs, vocabulary_path(), ids="ids")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mixed), ("BPE", encoded)]
@@ -52,7 +53,9 @@ STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard j
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded corpus: what the last stage returns, a table in the shared
+    folder."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
@@ -60,3 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             release(last)
         last = docs
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered query: counts and digests of the encoded corpus."""
+    return corpus(spark, sf_dir).drop("ids")

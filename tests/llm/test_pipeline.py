@@ -7,6 +7,7 @@ from conftest import SCHEMA, prose
 from test_operators import sets_of
 
 import corpus_pipeline as p
+from assocframe.llm.queries import vocabulary_path
 from assocframe.runtime import ship
 
 
@@ -48,3 +49,19 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], SCHEMA)
     got = sorted(r.doc_id for r in p.near(spark, docs, "").collect())
     assert got == [i for i in ids if label[i] == i]
+
+
+def test_the_last_stage_returns_the_ids(spark, odd):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    texts = [r.text or "" for r in odd.select("text").collect()]
+    want = sorted(lib.encode(t, add_special_tokens=False).ids for t in texts)
+    rows = p.STAGES[-1][1](spark, odd, "").collect()
+    assert sorted(list(r.ids) for r in rows) == want
+    assert all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def test_the_corpus_has_ids(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    assert "ids" in p.corpus(spark, str(tmp_path)).columns
