@@ -2,8 +2,10 @@
 
 Fits run on Spark's own learners; the loop is over groups of files, of which
 there are a few. A fold's imputation, screening and scaling see its training
-rows alone. Learners that Spark lacks are left out: extremely randomised trees
-and histogram boosting are replaced by random forests and gradient boosting."""
+rows alone. Linear models search their penalty (assocframe.operators.penalty)
+unless they are given one; forests have 500 trees and boosting 300 rounds.
+Learners that Spark lacks are left out: extremely randomised trees and histogram
+boosting are replaced by random forests and gradient boosting."""
 
 from __future__ import annotations
 
@@ -12,17 +14,19 @@ from pyspark.ml.feature import Imputer, StandardScaler, VarianceThresholdSelecto
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assocframe.operators import ranking as rk
+from assocframe.operators import penalty, ranking as rk
 
 
 def learner(kind: str, label: str, **options):
+    if kind in penalty.GRIDS and "alpha" not in options:
+        return penalty.Search(kind, label)
     if kind in ("ridge", "lasso", "elastic_net"):
         mix = {"ridge": 0.0, "lasso": 1.0, "elastic_net": 0.5}[kind]
-        return LinearRegression(featuresCol="scaled", labelCol=label, regParam=options.get("alpha", 0.1), elasticNetParam=options.get("l1_ratio", mix), maxIter=50)
+        return LinearRegression(featuresCol="scaled", labelCol=label, regParam=options["alpha"], elasticNetParam=options.get("l1_ratio", mix), maxIter=50)
     if kind == "forest":
-        return RandomForestRegressor(featuresCol="scaled", labelCol=label, numTrees=options.get("trees", 50), minInstancesPerNode=2, maxDepth=5, seed=42)
+        return RandomForestRegressor(featuresCol="scaled", labelCol=label, numTrees=options.get("trees", 500), minInstancesPerNode=2, maxDepth=30, featureSubsetStrategy="all", seed=42)
     if kind == "boosting":
-        return GBTRegressor(featuresCol="scaled", labelCol=label, maxIter=options.get("trees", 20), stepSize=0.1, maxDepth=2, seed=42)
+        return GBTRegressor(featuresCol="scaled", labelCol=label, maxIter=options.get("trees", 300), stepSize=0.03, maxDepth=2, seed=42)
     raise ValueError(f"unknown learner {kind}")
 
 

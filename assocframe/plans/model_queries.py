@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assocframe.functions import stats as st
-from assocframe.operators import dataset as ds, profile as p, prs, ranking as rk, report as rp
+from assocframe.operators import dataset as ds, fold_evaluation as fe, profile as p, prs, ranking as rk, report as rp
 from assocframe.plans.base import query, rounded
 from assocframe.plans.views import view
 from assocframe.runtime import materialise
@@ -412,6 +412,15 @@ def auc(spark, d):
     return rounded(prs.auc(_f(spark, d).withColumn("y", (F.col("target") > 0.5).cast("int")), ["phenotype"], "y", "f_rate"))
 
 
+@query("eval_fold")
+def eval_fold(spark, d):
+    """Five folds of the samples; scores of all variants at twenty thresholds."""
+    s = view(spark, d, "samples").where("PHENO > 0").select("IID", F.pmod(F.col("IID").cast("int"), F.lit(5)).alias("fold"), (F.col("PHENO") - 1).alias("y"), F.col("SEX").cast("double").alias("SEX"), "AGE")
+    grid = prs.thresholds(spark)
+    found = fe.evaluate(s, prs.score(dosages(spark, d), view(spark, d, "target"), grid), ["SEX", "AGE"])
+    return found.join(F.broadcast(grid), "threshold").drop("threshold")
+
+
 _AVG = "a AS (SELECT job_index, label, pvalue, count(DISTINCT fold) AS folds, avg(train) AS train_mean, stddev_samp(train) AS train_sd, avg(test) AS test_mean, stddev_samp(test) AS test_sd FROM folds GROUP BY ALL)"
 
 

@@ -384,10 +384,34 @@ def list_files(spark, d):
 
 # models and streams
 
+def _lopo(spark, d, kind):
+    f = view(spark, d, "features")
+    return ml.evaluate(ml.hold_one_out(f, ["f_size", "f_rate", "f_const"], "target", "phenotype", kind), "target", "phenotype", "job_index")
+
+
 @query("lopo_cv")
 def lopo_cv(spark, d):
-    f = view(spark, d, "features")
-    return ml.evaluate(ml.hold_one_out(f, ["f_size", "f_rate", "f_const"], "target", "phenotype"), "target", "phenotype", "job_index")
+    return _lopo(spark, d, "ridge")
+
+
+@query("lopo_lasso")
+def lopo_lasso(spark, d):
+    return _lopo(spark, d, "lasso")
+
+
+@query("lopo_elastic_net")
+def lopo_elastic_net(spark, d):
+    return _lopo(spark, d, "elastic_net")
+
+
+@query("lopo_forest")
+def lopo_forest(spark, d):
+    return _lopo(spark, d, "forest")
+
+
+@query("lopo_boosting")
+def lopo_boosting(spark, d):
+    return _lopo(spark, d, "boosting")
 
 
 @query("native_importance")
