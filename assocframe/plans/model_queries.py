@@ -390,6 +390,17 @@ def plink_prune(spark, d):
     return prs.prune(view(spark, d, "target").select("SNPID", "CHR", "POS"), _ld(spark, d))
 
 
+@query("prsice_clumped")
+def prsice_clumped(spark, d):
+    """prsice_run over the index variants of clumping, with the threshold 1 that
+    PRSice adds to its grid."""
+    grid = spark.range(21).select(F.col("id").cast("int").alias("step"), F.when(F.col("id") == 20, 1.0).otherwise(F.lit(0.00001) + F.lit(0.05) * F.col("id")).alias("threshold"))
+    t = view(spark, d, "target")
+    index = materialise(prs.clump(t, _ld(spark, d)).select("SNPID"), "index")
+    found = prs.score(dosages(spark, d), t.join(index, "SNPID", "left_semi"), grid)
+    return rounded(found.join(F.broadcast(grid), "threshold").select("IID", "step", "variants", "score"), 10)
+
+
 @query("clump_fallback")
 def clump_fallback(spark, d):
     t = view(spark, d, "target")
@@ -398,13 +409,11 @@ def clump_fallback(spark, d):
 
 @query("plink_pca")
 def plink_pca(spark, d):
-    """Sums of squares along each component, which don't depend on signs."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-
-    f = _f(spark, d).fillna(0.0).select("job_index", "f_size", "f_rate", "target")
-    rows = VectorAssembler(inputCols=["f_size", "f_rate", "target"], outputCol="v").transform(f)
-    found = PCA(k=2, inputCol="v", outputCol="pc").fit(rows)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(found.explainedVariance)], "component int, share double")
+    """Six components of each sample, from the dosages, up to signs; 0 for
+    samples without dosages."""
+    s = view(spark, d, "samples").select("FID", "IID")
+    found = prs.components(dosages(spark, d))
+    return s.join(found, "IID", "left").fillna(0.0, found.columns[1:])
 
 
 @query("auc", "WITH r AS (SELECT phenotype, target > 0.5 AS y, rank() OVER (PARTITION BY phenotype ORDER BY f_rate) + (count(*) OVER (PARTITION BY phenotype, f_rate) - 1) / 2.0 AS r FROM features) SELECT phenotype, round((sum(r) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2.0) / nullif(count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y), 0), 8) AS auc FROM r GROUP BY phenotype")
@@ -414,10 +423,12 @@ def auc(spark, d):
 
 @query("eval_fold")
 def eval_fold(spark, d):
-    """Five folds of the samples; scores of all variants at twenty thresholds."""
+    """Five folds of the samples; scores of all variants at twenty thresholds;
+    sex, age and six components as covariates."""
     s = view(spark, d, "samples").where("PHENO > 0").select("IID", F.pmod(F.col("IID").cast("int"), F.lit(5)).alias("fold"), (F.col("PHENO") - 1).alias("y"), F.col("SEX").cast("double").alias("SEX"), "AGE")
-    grid = prs.thresholds(spark)
-    found = fe.evaluate(s, prs.score(dosages(spark, d), view(spark, d, "target"), grid), ["SEX", "AGE"])
+    grid, pcs = prs.thresholds(spark), prs.components(dosages(spark, d))
+    s = s.join(pcs, "IID", "left").fillna(0.0, pcs.columns[1:])
+    found = fe.evaluate(s, prs.score(dosages(spark, d), view(spark, d, "target"), grid), ["SEX", "AGE", *pcs.columns[1:]])
     return found.join(F.broadcast(grid), "threshold").drop("threshold")
 
 

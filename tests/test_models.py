@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from assocframe.operators import fold_evaluation as fe, ml, penalty
-from assocframe.plans import registry
+from assocframe.operators import fold_evaluation as fe, ml, penalty, prs
+from assocframe.plans import model_queries as mq, registry
+from assocframe.plans.views import view
 from assocframe.runtime import ship
 
 
@@ -93,3 +94,46 @@ def test_folds_are_evaluated_by_three_models(spark, binary):
                 want = 1 - ((y[h] - v[h] @ w) ** 2).sum() / ((y[h] - y[h].mean()) ** 2).sum()
             assert r[f"test_{name}"] == pytest.approx(want, abs=1e-6), name
         assert (r.train_n, r.test_n) == ((has & ~held).sum(), (has & held).sum())
+
+
+def test_components_are_those_of_the_dosages(spark, small):
+    """The registered query against an eigendecomposition of the whole matrix."""
+    dose = [(r.IID, r.SNPID, r.dosage) for r in mq.dosages(spark, small).collect()]
+    samples, variants = sorted({r[0] for r in dose}), sorted({r[1] for r in dose})
+    x = np.full((len(samples), len(variants)), np.nan)
+    for i, v, g in dose:
+        x[samples.index(i), variants.index(v)] = g
+    f = np.nanmean(x, axis=0) / 2
+    x, f = x[:, (f > 0) & (f < 1)], f[(f > 0) & (f < 1)]
+    z = np.nan_to_num((x - 2 * f) / np.sqrt(2 * f * (1 - f)))
+    want = np.linalg.eigh(z @ z.T)[1][:, ::-1][:, :6]
+    rows = {r.IID: r for r in registry.queries()["plink_pca"](spark, small).collect()}
+    assert set(rows) == {r.IID for r in view(spark, small, "samples").collect()} and {"FID", "PC6"} <= set(next(iter(rows.values())).asDict())
+    for k in range(6):
+        got = np.array([rows[i][f"PC{k + 1}"] if i in rows else np.nan for i in samples])
+        on = ~np.isnan(got)
+        assert min(abs(got - want[:, k])[on].max(), abs(got + want[:, k])[on].max()) < 1e-7
+
+
+def test_leading_vectors_of_a_matrix_that_is_not_whole():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 900))
+    want = np.linalg.eigh(x @ x.T)[1][:, ::-1][:, :6]
+    got = prs.leading(lambda u: x @ (x.T @ u), 700, 6)
+    assert np.abs((got * want).sum(axis=0)) == pytest.approx(np.ones(6), abs=1e-9)
+
+
+def test_clumped_scores_leave_linked_variants_out(spark, small):
+    t = {r.SNPID: r for r in view(spark, small, "target").collect()}
+    index = {r.SNPID for r in registry.queries()["plink_clump"](spark, small).collect()}
+    assert index < set(t)
+    want = {}
+    for r in mq.dosages(spark, small).collect():
+        if r.SNPID in index:
+            for k, at in enumerate([*(0.00001 + 0.05 * i for i in range(20)), 1.0]):
+                if t[r.SNPID].P <= at:
+                    n, x = want.get((r.IID, k), (0, 0.0))
+                    want[r.IID, k] = (n + 1, x + r.dosage * t[r.SNPID].BETA)
+    got = {(r.IID, r.step): (r.variants, r.score) for r in registry.queries()["prsice_clumped"](spark, small).collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == n and got[k][1] == pytest.approx(x / (2 * n), abs=1e-9) for k, (n, x) in want.items())
