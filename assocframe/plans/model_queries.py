@@ -8,7 +8,7 @@ from assocframe.functions import stats as st
 from assocframe.operators import dataset as ds, fold_evaluation as fe, profile as p, prs, ranking as rk, report as rp
 from assocframe.plans.base import query, rounded
 from assocframe.plans.views import view
-from assocframe.runtime import materialise
+from assocframe.runtime import materialise, positions
 
 
 def _f(spark: SparkSession, d: str) -> DataFrame:
@@ -331,6 +331,13 @@ def sort_multi(spark, d):
     return best.select("job_index", F.row_number().over(order).alias("place"))
 
 
+@query("sort_multi_all", "SELECT job_index, f_size, f_rate, row_number() OVER (ORDER BY f_size DESC NULLS LAST, f_rate ASC, job_index) AS place FROM features")
+def sort_multi_all(spark, d):
+    """The place of every row in sort_multi's order."""
+    cell = F.coalesce(-F.col("f_size"), F.lit(float("inf")))
+    return positions(_f(spark, d).withColumn("_c", cell), [], ["_c", "f_rate"], ["job_index"], "place").select("job_index", "f_size", "f_rate", "place")
+
+
 # scores
 
 _DOSE = """dose AS (SELECT IID, SNPID, min(dosage) AS dosage FROM (SELECT CAST(o_custkey AS VARCHAR) AS IID, 'rs' || CAST(l_partkey AS VARCHAR) AS SNPID, CAST(l_linenumber % 3 AS INT) AS dosage FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY IID, SNPID)"""

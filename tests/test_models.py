@@ -137,3 +137,12 @@ def test_clumped_scores_leave_linked_variants_out(spark, small):
     got = {(r.IID, r.step): (r.variants, r.score) for r in registry.queries()["prsice_clumped"](spark, small).collect()}
     assert set(got) == set(want)
     assert all(got[k][0] == n and got[k][1] == pytest.approx(x / (2 * n), abs=1e-9) for k, (n, x) in want.items())
+
+
+def test_every_row_has_its_place(spark):
+    """On a table with more rows than sort_multi returns, nulls last."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.f_size is None, -(r.f_size or 0.0), r.f_rate, r.job_index) for r in view(spark, sf, "features").collect()]
+    want = {r[3]: i + 1 for i, r in enumerate(sorted(rows))}
+    got = {r.job_index: r.place for r in registry.queries()["sort_multi_all"](spark, sf).collect()}
+    assert len(got) > 25 and got == want
