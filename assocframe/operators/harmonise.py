@@ -71,14 +71,21 @@ def parse_compound(c: Column) -> dict[str, Column]:
     return {"id_chr": F.upper(part(1)), "id_pos": part(2).try_cast("long"), "id_nea": F.upper(part(3)), "id_ea": F.upper(part(4)), "id_rs": F.nullif(F.regexp_extract(c, r"(?i)(rs[0-9]+)", 1), F.lit(""))}
 
 
+#: Canonical columns that are measured, and those that count.
+MEASURES = {"EAF", "MAF", "BETA", "SE", "OR", "OR_95U", "OR_95L", "Z", "P", "INFO"}
+COUNTS = {"N", "N_CASES", "N_CONTROLS"}
+
+
 def standardise(raw: DataFrame, names: dict[str, list[str]], snp: str | None = None) -> DataFrame:
     """raw by canonical names: the first alias that exists, and for what is
-    missing what a compound id says."""
+    missing what a compound id says. MEASURES are doubles and COUNTS whole
+    numbers; any other column stays text, so that no id passes through a double."""
     chosen = {k: alias_first(raw, v) for k, v in names.items()}
     ids = parse_compound(F.col(snp or chosen.get("SNPID") or raw.columns[0]))
     fall = {"CHR": ids["id_chr"], "POS": ids["id_pos"].cast("string"), "EA": ids["id_ea"], "NEA": ids["id_nea"], "SNPID": ids["id_rs"]}
     col = lambda k: F.col(chosen[k]).cast("string") if chosen[k] else F.lit(None).cast("string")
-    out = {k: F.coalesce(col(k), fall[k]) if k in fall else m.parse_number(col(k)) for k in names}
+    count = lambda c: F.coalesce(c.try_cast("long"), m.parse_number(c).try_cast("long"))
+    out = {k: F.coalesce(col(k), fall[k]) if k in fall else m.parse_number(col(k)) if k in MEASURES else count(col(k)) if k in COUNTS else col(k) for k in names}
     for k in ("EA", "NEA"):
         if k in out:
             out[k] = F.upper(out[k])
