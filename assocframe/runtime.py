@@ -27,10 +27,13 @@ _tables: dict[str, SparkSession] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
-    Where it is unset, as in local tests, a temporary one of this process."""
+    Where it is unset and the master is local, as in tests, a temporary one of
+    this process; on a cluster that would be another folder on each machine."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="assocframe-")
