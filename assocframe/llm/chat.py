@@ -1,8 +1,9 @@
 """Chat formatting with schema fingerprints.
 
 Records of chats come as JSON in layouts of many makes. A record's fingerprint
-is a hash of its nested field paths; it selects a declarative mapping, and the
-mapping says where the turns are. Canonical turns, (role, text) in order, are
+is a hash of its nested field paths, over all elements of its arrays and down to
+DEPTH levels (what lies deeper is one more path, which no mapping has); it
+selects a declarative mapping, and the mapping says where the turns are. Canonical turns, (role, text) in order, are
 then written with a template that marks turns, and read back from it.
 
 Control strings inside roles and texts are escaped so that the markers can't
@@ -13,8 +14,12 @@ nowhere else, so plain replacements undo it. The loss mask is the list of spans
 
 Nulls: a null text is empty, a null role is `unknown`. Turns are ordered by
 turn, then role and text; equal turns repeat. A record whose fingerprint has no
-mapping keeps null turns and is reported by its fingerprint. An empty table
-gives an empty result. Only DataFrame functions are used.
+mapping, or that is no JSON object, keeps null turns; unmapped() counts such by
+fingerprint. Texts may be as long as a string can be: the JSON reader's own
+limit of 20,000,000 characters is lifted. A chat is one row, so a chat must fit a
+task. An empty table gives an empty result. Columns that are added (fingerprint,
+turns, formatted, loss, read_turns, loss_texts) replace those of the same name.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
+#: Levels of a record whose field paths are told apart.
+DEPTH = 5
+#: The JSON reader gives up silently on longer strings than this.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -61,20 +70,38 @@ def _hash(paths: Column) -> Column:
     return F.substring(F.sha2(F.array_join(paths, "\n").cast("binary"), 256), 1, 16)
 
 
+def _read(record: Column, schema: str) -> Column:
+    return F.from_json(record, schema, _ANY_LENGTH)
+
+
 def paths(record: Column) -> Column:
-    """The sorted field paths of a JSON record: its fields, those of objects in
-    them, and those of the first element of arrays."""
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    fields = F.from_json(record, "map<string,string>")
+    """The sorted distinct field paths of a JSON record: its fields and those of
+    objects in them, with [] for the elements of an array. One level at a time:
+    `todo` has the values whose fields are still to be listed."""
+    nodes = "array<struct<path:string,value:string,field:boolean>>"
+
+    def below(s: Column) -> Column:
+        dot = F.when(s["path"] == "", "").otherwise(".")
+        # as variants, texts keep their quotes and so aren't taken for what they hold; values beyond a variant's bound are read as strings
+        known = F.transform_values(_read(s["value"], "map<string,variant>"), lambda k, x: F.to_json(x))
+        parts = F.transform(_read(s["value"], "array<variant>"), lambda x: F.to_json(x))
+        fields = F.transform(F.map_entries(F.coalesce(known, _read(s["value"], "map<string,string>"))), lambda e: F.struct(F.concat(s["path"], dot, e["key"]).alias("path"), e["value"].alias("value"), F.lit(True).alias("field")))
+        items = F.transform(F.coalesce(parts, _read(s["value"], "array<string>")), lambda x: F.struct(F.concat(s["path"], F.lit("[]")).alias("path"), x.alias("value"), F.lit(False).alias("field")))
+        return F.coalesce(F.when(F.startswith(s["value"], F.lit("{")), fields).when(F.startswith(s["value"], F.lit("[")), items), F.array().cast(nodes)).cast(nodes)
+
+    def level(state: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(state["todo"], below))
+        return _let(found, lambda f: F.struct(f.alias("todo"), F.array_distinct(F.concat(state["done"], F.transform(F.filter(f, lambda x: x["field"]), lambda x: x["path"]))).alias("done")))
 
-    def below(k: Column) -> Column:
-        v = fields[k]
-        inner = F.coalesce(F.json_object_keys(v), F.array().cast("array<string>"))
-        element = F.coalesce(F.json_object_keys(F.get_json_object(v, "$[0]")), F.array().cast("array<string>"))
-        nested = F.when(v.startswith("{"), F.transform(inner, lambda i: F.concat(k, F.lit("."), i))).when(v.startswith("["), F.transform(element, lambda i: F.concat(k, F.lit("[]."), i)))
-        return F.concat(F.array(k), F.coalesce(nested, F.array().cast("array<string>")))
+    start = F.struct(F.array(F.struct(F.lit("").alias("path"), F.ltrim(record).alias("value"), F.lit(False).alias("field"))).cast(nodes).alias("todo"), F.array().cast("array<string>").alias("done"))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, level)
+    deeper = lambda st: F.exists(st["todo"], lambda x: F.startswith(x["value"], F.lit("{")) | F.startswith(x["value"], F.lit("[")))
+    return _let(state, lambda st: F.array_sort(F.concat(st["done"], F.when(deeper(st), F.array(F.lit("..."))).otherwise(F.array().cast("array<string>")))))
 
-    return F.array_sort(F.flatten(F.transform(keys, below)))
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def fingerprint(record: Column) -> Column:
@@ -90,14 +117,19 @@ def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mappin
     return out.withColumn("turns", turns)
 
 
+def unmapped(chats: DataFrame) -> DataFrame:
+    """(fingerprint, records): how many of canonical()'s records have no mapping."""
+    return chats.where("turns is null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records"))
+
+
 def _mapped(m: Mapping, record: Column) -> Column:
     """The turns of a record of m's layout."""
     if m.turns:
-        found = F.from_json(record, f"{m.turns} array<struct<`{m.role}`:string,`{m.text}`:string>>")[m.turns]
+        found = _read(record, f"`{m.turns}` array<struct<`{m.role}`:string,`{m.text}`:string>>")[m.turns]
         names = F.create_map(*[F.lit(x) for pair in m.roles for x in pair]) if m.roles else None
         named = lambda r: r if names is None else F.coalesce(names[r], r)
         return F.transform(found, lambda x: _turn(named(x[m.role]), x[m.text]))
-    row = F.from_json(record, ", ".join(f"`{p}` string" for p in dict.fromkeys(p for _, p in m.fields)))
+    row = _read(record, ", ".join(f"`{p}` string" for p in dict.fromkeys(p for _, p in m.fields)))
     made = F.array(*[_turn(F.lit(r), row[p]) if p not in m.optional else F.when(row[p] != "", _turn(F.lit(r), row[p])) for r, p in m.fields])
     return F.filter(made, lambda x: x.isNotNull()) if m.optional else made
 
@@ -153,11 +185,12 @@ def as_records(rows: DataFrame) -> DataFrame:
     and goes on so has that too, any other is a list of messages."""
     named = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("m"))
     chats = named.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    roles = F.array_join(F.transform("m", lambda x: x["role"]), ",")
-    text = lambda i: F.col("m")[i]["content"]
+    roles = F.transform("m", lambda x: x["role"])
+    are = lambda *names: roles == F.array(*[F.lit(n) for n in names])
+    text = lambda i: F.get("m", F.lit(i))["content"]
     record = (
-        F.when(roles == "user,assistant", F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
+        F.when(are("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        .when(are("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
         .otherwise(F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))))
     )
     return chats.select("conv_id", record.alias("record"))
