@@ -5,6 +5,10 @@ of the same word are looked up by binary search over the sorted pair keys, each
 word's lowest rank is taken with one reduction, and all of that pair's
 occurrences in the word are merged. Words that have nothing left to merge leave
 the array. A word is encoded once; a bounded cache keeps the ids of those seen.
+Where a round per merge would touch too much, in words of LONG bytes and more,
+places wait in a queue by rank: each round takes the lowest rank of all these
+words, merges its places, and looks up the pairs beside them only, so the whole
+costs about its number of merges.
 
 The vocabulary is a byte-level BPE file of the tokenizers library (its path is
 a parameter). It is read where it is used, on each executor, so it must be
@@ -18,6 +22,7 @@ those tokens, as in the library.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +36,8 @@ from assocframe.llm.text import slices, within
 
 #: How byte-level vocabularies of this family cut a text into words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of a word from which rounds touch only what has changed.
+LONG = 200
 #: Words whose ids are remembered by a worker.
 CACHE_WORDS = 150_000
 #: Ids of them that are remembered.
@@ -81,14 +88,81 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, flat, and each word's number of them."""
+        long = np.array([len(w) >= LONG for w in words], bool)
+        if not long.any():
+            return self.merge_short(words)
+        parts = [self.merge_short([w for w, x in zip(words, long, strict=True) if not x]), self.merge_long([w for w, x in zip(words, long, strict=True) if x])]
+        count = np.zeros(len(words), np.int64)
+        count[~long], count[long] = parts[0][1], parts[1][1]
+        out, of_long = np.zeros(count.sum(), np.int64), np.repeat(long, count)
+        out[~of_long], out[of_long] = parts[0][0], parts[1][0]
+        return out, count
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, `none` where there is no such merge."""
+        pair = left * self.size + right
+        place = np.searchsorted(self.keys, pair)
+        return np.where(self.keys[place] == pair, self.rank[place], self.none)
+
+    def merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merge_short(), by a queue of ranks over linked symbols. Pairs of
+        different words don't meet, so all words share the queue."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        sym = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        n, word = len(sym), np.repeat(np.arange(len(words)), lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.cumsum(lengths) - 1
+        after[last], before[last - lengths + 1] = -1, -1
+        pair = np.full(n, self.none)  # the rank of each live symbol with the next one
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Look up the pairs that start at these places."""
+            follow = after[at]
+            rank = np.where(follow < 0, self.none, self.ranks(sym[at], sym[follow]))
+            pair[at] = rank
+            at, rank = at[rank < self.none], rank[rank < self.none]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.zeros(0, np.int64)
+            for r, places in zip(rank[cut].tolist(), np.split(at, cut[1:]) if len(cut) else [], strict=True):
+                if r in waiting:
+                    waiting[r].append(places)
+                else:
+                    waiting[r] = [places]
+                    heapq.heappush(queue, r)
+
+        wait(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (pair[at] == r)]
+            if not len(at):
+                continue
+            chained = np.append(False, after[at[:-1]] == at[1:])
+            if chained.any():  # equal symbols in a row: every other place of a run, from its left
+                start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - start) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.made[r]
+            alive[gone] = False
+            after[at] = after[gone]
+            follow = after[at]
+            before[follow[follow >= 0]] = at[follow >= 0]
+            lead = before[at]
+            wait(np.unique(np.concatenate([at, lead[lead >= 0]])))
+        return sym[alive], np.bincount(word[alive], minlength=len(words))
+
+    def merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() by rounds over all symbols of all words."""
         lengths = np.array([len(w) for w in words], np.int64)
         flat = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
         out_sym, out_word = [], []
         while len(flat):
-            place = np.searchsorted(self.keys, flat[:-1] * self.size + flat[1:])
-            rank = np.where((self.keys[place] == flat[:-1] * self.size + flat[1:]) & (word[:-1] == word[1:]), self.rank[place], self.none)
-            rank = np.append(rank, self.none)
+            rank = np.append(np.where(word[:-1] == word[1:], self.ranks(flat[:-1], flat[1:]), self.none), self.none)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             size = np.diff(np.append(first, len(word)))
             least = np.repeat(np.minimum.reduceat(rank, first), size)
