@@ -15,7 +15,9 @@ The running sum needs no sorted source: rows are numbered within cells of
 Nulls: a null source is a source of its own, after all others; a null text has
 size 0. Rows that repeat are rows of their own. Documents of size 0 are copied
 like others but take no words; a source without words has target 0 and none of
-its rows is copied. An empty table gives an empty result.
+its rows is copied. Texts of any length are counted whole. An empty table gives
+an empty result. Columns of `carry` whose names clash with the results' or with
+the operator's own (_RESULTS) are left out; pack them in a struct to keep them.
 
 Only DataFrame functions are used; reruns give the same rows.
 """
@@ -31,6 +33,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Cells into which the rows of a source and a size bin are dealt.
 CELLS = 64
+_RESULTS = {"doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "_key", "_bin", "_cell", "_nth", "_before", "_rate", "_offset", "_salt"}
 
 
 def word_count(text: str | Column) -> Column:
@@ -63,7 +66,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
     """doc_id, source, size, source_size, target, copies and taken of each row
     of docs (and the columns of `carry`)."""
     own = ["doc_id", "source"]
-    more = [c for c in carry or [] if c not in own]
+    more = [c for c in carry or [] if c not in _RESULTS]
     sized = docs.select(*own, word_count(text).alias("size"), *more)
     if not more:
         sized = materialise(sized, "sized")
@@ -74,7 +77,9 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
     aims = materialise(aims.withColumn("_key", key).withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("_offset", (turn + 0.5) / 1048576.0).drop("source"), "targets")
     bits = F.length(F.bin("size")).cast("int")
     cells = sized.withColumn("_key", key).withColumn("_bin", bits).withColumn("_cell", spread_of("doc_id", salts=CELLS))
-    placed = positions(cells, ["_key"], ["_bin", "_cell"], ["size", "doc_id", *more])
+    # rows that share size and doc_id come in the order of a hash of what can be hashed
+    plain = [c for c, kind in docs.dtypes if c in more and "map<" not in kind and "variant" not in kind]
+    placed = positions(cells, ["_key"], ["_bin", "_cell"], ["size", "doc_id", *([F.xxhash64(*plain)] if plain else [])])
     out = sized_join(placed, aims, ["_key"], "inner", ["doc_id"])
     upto = lambda k: F.floor(k * F.col("_rate") + F.col("_offset"))
     out = out.withColumn("copies", F.least(upto(F.col("position")) - upto(F.col("position") - 1), F.lit(most)).cast("long"))
