@@ -52,18 +52,25 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Tokenizer versions of the rollup: its columns and their vocabularies.
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in under two versions, one of which is then revised;
-    documents labelled toxic are taken down; each batch is sent twice."""
-    patterns = {"words": token_rollup.WORDS, "runs": token_rollup.RUNS, "pieces": token_rollup.PIECES}
-    found = materialise(token_rollup.counts(table(spark, sf_dir, "documents"), patterns), "counts")
+    """All documents come in under two versions, the second with the first's
+    counts, which are then revised; documents labelled toxic are taken down;
+    each batch is sent twice."""
+    import public_tokenizers
+
+    first, second = VERSIONS
+    found = materialise(token_rollup.counts(table(spark, sf_dir, "documents"), {k: public_tokenizers.path(v) for k, v in VERSIONS.items()}), "counts")
     down = found.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     batches = {
-        "0001": token_rollup.inserts(found, "words-1", "words"),
-        "0002": token_rollup.inserts(found, "pieces-1", "pieces"),
-        "0003": token_rollup.revisions(found, "words-1", "words", "runs"),
-        "0004": token_rollup.deletes(down, "words-1", "runs").unionByName(token_rollup.deletes(down, "pieces-1", "pieces")),
+        "0001": token_rollup.inserts(found, first, first),
+        "0002": token_rollup.inserts(found, second, first),
+        "0003": token_rollup.revisions(found, second, first, second),
+        "0004": token_rollup.deletes(down, first, first).unionByName(token_rollup.deletes(down, second, second)),
     }
     for name, events in batches.items():
         rollup.commit(name, events)
@@ -121,4 +128,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op8_token_rollup": token_rollup.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
