@@ -247,13 +247,14 @@ def judge(counted: DataFrame, found: DataFrame, cut: float = 0.999999) -> DataFr
     return out.select(*counted.columns, far.alias("distance"), verdict.alias("kept"))
 
 
+def counted(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """A table of rules()'s rows."""
+    return materialise(rules(docs, text, list(dict.fromkeys([*(carry or []), "doc_id", "lang", "source"]))), "counted")
+
+
 def quality(docs: DataFrame, text: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
     """rules(), fit() and judge() for all rows of docs. With carry, the rows
-    have these columns of docs: the counts are then made once more rather than
-    that texts are shuffled."""
-    counted = materialise(rules(docs, text), "counted")
-    found = fit(counted, **options)
-    if not carry:
-        return judge(counted, found)
-    release(counted)
-    return judge(rules(docs, text, list(dict.fromkeys([*carry, "doc_id", "lang", "source"]))), found)
+    have these columns of docs; they are written beside the counts, so that
+    texts are neither counted twice nor shuffled."""
+    found = counted(docs, text, carry)
+    return judge(found, fit(found, **options))

@@ -16,13 +16,27 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang", "source")
 
 
+_read: list[DataFrame] = []
+
+
+def over() -> None:
+    """Delete the tables that the stage before has read: its rows are written by
+    the time that the next one begins."""
+    release(*_read)
+    _read.clear()
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and are no outliers of their group."""
-    return quality_rules.quality(packed(docs), carry=["_row"]).where("kept").select("_row.*")
+    over()
+    counted = quality_rules.counted(packed(docs), carry=["_row"])
+    _read.append(counted)
+    return quality_rules.judge(counted, quality_rules.fit(counted)).where("kept").select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id."""
+    over()
     return exact_dedup.keep(docs)
 
 
