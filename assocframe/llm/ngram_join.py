@@ -5,27 +5,35 @@ when 100 * intersection >= threshold * union. Sizes are cut into bands so that
 linked sets lie in the same band or in neighbouring ones; a band of sizes up to
 r bounds the symmetric difference of a linked pair by
 k = floor(2 r (100 - t) / (100 + t)). For each band that concerns it, a set is
-partitioned by hashes of its elements into (k + 1) / 2 parts of three cells
-each. Some part of a linked pair differs in one element at most, so the pair
-agrees on two of its cells: the signatures are the sums over each part without
-one of its cells. Each candidate is then verified on the whole sets.
-
-Sets that are equal form one class; only classes are joined. Signatures whose
-classes are the same are one candidate group. Within a group every class is
-first held against its smallest one; a group whose classes then share one
-component is settled, as further links can't change the result. In the others
-the classes outside the group's largest component are compared with all classes
-of other components, in tiles of bounded size, by sketches: a sketch has a byte
-for each cell of a partition of the elements, and sets differ in at least as
-many elements as their sketches differ in bytes. What this bound can't rule out
-is verified. So no group is collected, no group's pairs are emitted, and no
-pair that could join two components is left out. jaccard_links() gives every
-link between classes by the same tiles, without settling.
+partitioned by hashes of its elements into parts of three cells each. Among
+floor(k / 2) + 1 + slack parts of a linked pair, slack + 1 at least differ in
+one element at most, so that the pair agrees on two of their cells: the
+signatures are the sums over each part without one of its cells.
+
+Two empty cells are no evidence. A part that has such is bare; a set with no
+more bare parts than the slack shares a signature of filled cells with all that
+it links with, so the empty ones are left out. Sets with more bare parts (poor
+ones) need them only for each other: there each comes combined with every
+signature of a second, independent partition into k + 1 parts, one of which
+must be equal as well (for a small k, into k + 2, two of which are).
+
+Sets that are equal form one class; only classes are joined. The groups of
+classes that share a signature are merged by their smallest class (the centre).
+A group that fits a tile is compared there as a whole: the shared elements of
+its sets make a matrix whose product with itself counts all intersections, and
+the tile gives a spanning forest of its links, fewer rows than it has sets. In
+a larger one all classes are first held against the centre, in tiles; classes
+outside the largest component that results are then compared with all of
+others, in tiles, over the merged group or its single signatures, whichever
+compares less. So no group is collected, no group's pairs are emitted, and no
+link that could join two components is left out. jaccard_links() gives every
+link between classes by the same tiles.
 
 Nulls and texts without words have empty sets and link with nothing. Rows that
 share a doc_id, and are no copies of a smaller one's, count as one document
 with several sets, which links where any of them does; rows without a doc_id
-stand alone.
+stand alone. A text of any length is one set; columns other than doc_id and the
+text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -34,17 +42,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from assocframe.llm.components import components
 from assocframe.llm.text import buffers, byte_values, mix, shingles, slices, span_hashes, within, word_spans
 from assocframe.runtime import BROADCAST_ROWS, batches_of, has_rows, materialise, release, sized_join
 
-#: Classes of a group on either side of a tile.
+#: Sets on either side of a tile, and elements in them.
 TILE = 512
-#: Rows handed to a Python worker at once; they may hold two sets each.
-BATCH_ROWS = 500
+TILE_ELEMENTS = 1 << 20
+#: Rows handed to a Python worker at once.
+BATCH_ROWS = 200
+#: Signatures that a task holds before it hands them on, and that a bucket gets.
+FLUSH = 1 << 20
+BUCKET = 1 << 20
+LEAST_BUCKETS = 512
+#: Sets of one flush with the same signature beyond which it counts as hot there.
+HOT = 64
+#: Fingerprints of sets that a task remembers.
+REMEMBERED = 200_000
+#: Distinct elements of a tile that are counted at once.
+_COLUMNS = 4096
 _CELLS = 3
+#: The largest k for which pairs of parts make the second partition's signatures.
+PAIRED = 8
+#: Bytes of an element's hash that tiles compare, and of a signature within its bucket.
+_BYTES = 6
 
 
 def bands(threshold: int, most: int) -> np.ndarray:
@@ -70,6 +93,39 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return run[at[1:]] - run[at[:-1]]
 
 
+def sums_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit sum of the values of each index, from exact sums of their halves."""
+    low = np.bincount(index, (values & np.uint64(0xFFFFFFFF)).astype(float), n).astype(np.uint64)
+    high = np.bincount(index, (values >> np.uint64(32)).astype(float), n).astype(np.uint64)
+    return low + mix(high) * np.uint64(0x9FB21C651E98DF25)
+
+
+def dealt(x: np.ndarray, parts: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The part, numbered from `first`, of each element hash of sets of n."""
+    return np.repeat(first, n) + ((x >> np.uint64(32)) * np.repeat(parts.astype(np.uint64), n) >> np.uint64(32)).astype(np.int64)
+
+
+def _second(x: np.ndarray, n: np.ndarray, k: np.ndarray, poor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the poor sets by a second partition, flat, and where each
+    set's begin: sums of pairs of k + 2 parts for a small k, of which two parts
+    are equal, else of each of k + 1 parts, of which one is."""
+    paired = poor & (k <= PAIRED)
+    parts = np.where(paired, k + 2, k + 1) * poor
+    first = np.append(0, np.cumsum(parts))
+    z = mix(x + np.uint64(0x2545F4914F6CDD1D))
+    total = mix(sums_by(dealt(z, parts[poor], first[:-1][poor], n[poor]), mix(z), first[-1]) + within(parts).astype(np.uint64))
+    begin = np.append(0, np.cumsum(np.where(paired, (k + 2) * (k + 1) // 2, parts)))
+    out = np.empty(begin[-1], np.uint64)
+    single = np.repeat(~paired, parts)
+    out[np.repeat(~paired, np.diff(begin))] = total[single]
+    for size in np.unique(parts[paired]).tolist():
+        sets = np.flatnonzero(paired & (parts == size))
+        t = total[first[sets][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        out[begin[sets][:, None] + np.arange(len(i))] = mix(t[:, i] + mix(t[:, j]))
+    return begin, out
+
+
 def signatures(sets: np.ndarray, at: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets, flat, and the index of the set of each."""
     size = np.diff(at)
@@ -78,54 +134,56 @@ def signatures(sets: np.ndarray, at: np.ndarray, threshold: int) -> tuple[np.nda
     out, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for tag in (band, band + 1):
         k = 2 * upper[tag] * (100 - threshold) // (100 + threshold)
-        parts = np.where((size > 0) & (k > 0), (k + 2) // 2, 0)
-        base = np.append(0, np.cumsum(parts * _CELLS))
-        live = np.repeat(parts > 0, size)
-        x = mix(sets[live] + np.repeat(mix(tag.astype(np.uint64) + np.uint64(101)), size)[live])
-        p = (x >> np.uint64(32)) * np.repeat(parts.astype(np.uint64), size)[live] >> np.uint64(32)
-        cell = np.repeat(base[:-1], size)[live] + _CELLS * p.astype(np.int64) + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(_CELLS) >> np.uint64(32)).astype(np.int64)
+        on = (size > 0) & (k > 0)
+        live, elements = np.flatnonzero(on), np.repeat(on, size)
+        n, tags, least = size[live], tag[live].astype(np.uint64), k[live] // 2 + 1
+        slack = least // 8
+        parts = least + slack
+        first = np.append(0, np.cumsum(parts))
+        x = mix(sets[elements] + np.repeat(mix(tags + np.uint64(101)), n))
+        cell = dealt(x, parts, first[:-1], n) * _CELLS + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(_CELLS) >> np.uint64(32)).astype(np.int64)
         y = mix(x + np.uint64(0x632BE59BD9B4E019))
-        lo = np.bincount(cell, (y & np.uint64(0xFFFFFFFF)).astype(float), base[-1]).astype(np.uint64)
-        hi = np.bincount(cell, (y >> np.uint64(32)).astype(float), base[-1]).astype(np.uint64)
-        lo, hi = lo.reshape(-1, _CELLS), hi.reshape(-1, _CELLS)
-        place = within(parts).astype(np.uint64)
-        key = mix(np.repeat(tag.astype(np.uint64), parts) << np.uint64(32) | place)
-        for j in range(_CELLS):
-            a, b = [c for c in range(_CELLS) if c != j]
-            out.append(mix(mix(lo[:, a] + lo[:, b] + key) + (hi[:, a] + hi[:, b]) * np.uint64(0x9FB21C651E98DF25) + np.uint64(j)))
-            owner.append(np.repeat(np.arange(len(size)), parts))
+        held = np.bincount(cell, minlength=first[-1] * _CELLS).reshape(-1, _CELLS)
+        total = sums_by(cell, y, first[-1] * _CELLS).reshape(-1, _CELLS)
+        mine = np.repeat(np.arange(len(live)), parts)
+        key = mix(np.repeat(tags, parts) << np.uint64(32) | within(parts).astype(np.uint64))
+        sig = np.stack([mix(total.sum(axis=1) - total[:, j] + key + np.uint64(j)) for j in range(_CELLS)], axis=1)
+        bare = held.sum(axis=1, keepdims=True) == held
+        out.append(sig[~bare])
+        owner.append(live[np.repeat(mine[:, None], _CELLS, 1)[~bare]])
+        poor = np.bincount(mine, bare.any(axis=1), len(live)) > slack
+        if poor.any():
+            second, other = _second(y[np.repeat(poor, n)], n, k[live], poor)
+            r, j = np.nonzero(bare & poor[mine][:, None])
+            times = np.diff(second)[mine[r]]
+            out.append(mix(np.repeat(sig[r, j], times) + other[np.repeat(second[mine[r]], times) + within(times)]))
+            owner.append(np.repeat(live[mine[r]], times))
     return np.concatenate(out), np.concatenate(owner)
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """A byte for each of C cells, C the power of two from the set's size: the
-    exclusive or of a byte of its elements. Halves can be folded."""
-    cells = 1 << max(6, int(len(elements) - 1).bit_length() if len(elements) else 6)
-    x = mix(elements + np.uint64(0x2545F4914F6CDD1D))
-    out = np.zeros(cells, np.uint8)
-    np.bitwise_xor.at(out, (x & np.uint64(cells - 1)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
-    return out.tobytes()
+def cut_bytes(values: np.ndarray) -> bytes:
+    """The low bytes of 64-bit integers, _BYTES of each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
 
 
-def folded(raw: bytes | memoryview, cells: int) -> np.ndarray:
-    v = np.frombuffer(raw, np.uint8)
-    while len(v) > cells:
-        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-    return v
+def whole_numbers(raw: bytes | memoryview) -> np.ndarray:
+    """The integers that cut_bytes() cut."""
+    out = np.zeros((len(raw) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _BYTES)
+    return out.view("<u8").ravel()
 
 
 def _sets_of(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """(doc_id, size, sketch, elements): the elements as bytes of sorted 64-bit
-    integers."""
+    """(node, elements): the low bytes of each set's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 sets, at = text_sets(part, text, n)
-                each = [sets[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array([sketch(e) for e in each], pa.binary()), pa.array([e.tobytes() for e in each], pa.binary())], names=["doc_id", "size", "sketch", "elements"])
+                each = [cut_bytes(sets[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(each, pa.binary())], names=["node", "elements"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, size long, sketch binary, elements binary")
+    return docs.select("doc_id", text).mapInArrow(run, "node long, elements binary")
 
 
 def _sizes(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -141,154 +199,296 @@ def _sizes(docs: DataFrame, text: str, n: int) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def _signed(docs: DataFrame, text: str, n: int, threshold: int) -> DataFrame:
-    """(sig, node): the signatures of each distinct set that a task meets."""
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def name_of(bucket: np.ndarray | np.uint64, low: np.ndarray) -> np.ndarray:
+    """What a group of one signature is called: from its bucket and its low bytes."""
+    return mix(mix(bucket + np.uint64(1)) ^ low)
+
+
+def _signed(docs: DataFrame, text: str, n: int, threshold: int, buckets: int) -> DataFrame:
+    """(bucket, sigs, nodes, hot): the signatures of the sets that a task meets,
+    packed by bucket, with the document of each. Nodes lie in planes of bytes, of
+    which most are constant, so the shuffle's compression takes them away. Where a
+    flush has a signature of many sets, they go to another bucket under its name,
+    `hot`, without the signature, and the signature's bucket gets one of them."""
+    low = np.uint64((1 << 8 * _BYTES) - 1)
+
+    def packed(sig: np.ndarray, node: np.ndarray, salt: np.uint64) -> pa.RecordBatch:
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        run = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        count = np.diff(np.append(run, len(sig)))
+        rows = []
+        for a, c in zip(run[count > HOT].tolist(), count[count > HOT].tolist(), strict=True):
+            x = sig[a : a + 1]
+            name = name_of(bucket_of(x, buckets), x & low).view(np.int64)[0]
+            rows.append((bucket_of(mix(x + salt), buckets)[0], b"", node[a : a + c].tobytes(), name))
+            rows.append((bucket_of(x, buckets)[0], cut_bytes(x), node[a : a + 1].tobytes(), name))
+        keep = np.repeat(count <= HOT, count)
+        sig, node = sig[keep], node[keep]
+        bucket = bucket_of(sig, buckets)
+        cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(sig)).tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            rows.append((bucket[a], cut_bytes(sig[a:b]), node[a:b].view(np.uint8).reshape(-1, 8).T.tobytes(), None))
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["bucket", "sigs", "nodes", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
         for batch in batches:
             for part in slices(batch, text):
                 sets, at = text_sets(part, text, n)
-                prints = zip(sums(mix(sets), at).tolist(), np.diff(at).tolist(), strict=True)
+                prints = list(zip(sums(mix(sets), at).tolist(), np.diff(at).tolist(), strict=True))
                 new = np.zeros(len(at) - 1, bool)
                 for i, x in enumerate(prints):
-                    if x not in met:
+                    if x[1] and x not in met:
                         met.add(x)
                         new[i] = True
+                if len(met) > REMEMBERED:
+                    met.clear()
                 keep = np.flatnonzero(new)
                 size = np.diff(at)[keep]
                 sig, owner = signatures(sets[np.repeat(new, np.diff(at))], np.append(0, np.cumsum(size)), threshold)
-                ids = np.asarray(part.column("doc_id").cast(pa.int64()))[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[owner])], names=["sig", "node"])
-
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", text).mapInArrow(run, "sig long, node long")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+                held.append((sig, np.asarray(part.column("doc_id").cast(pa.int64()))[keep][owner]))
+                count += len(sig)
+                if count >= FLUSH:
+                    yield packed(*map(np.concatenate, zip(*held, strict=True)), mix(held[0][0][:1])[0])
+                    held, count = [], 0
+        if count:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)), mix(held[0][0][:1].sum(keepdims=True))[0])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", text).mapInArrow(run, "bucket long, sigs binary, nodes binary, hot long")
+
+
+def _by_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables that hold whole runs of equal keys, from rows sorted by key."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        k = np.asarray(t.column(key))
+        last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
+        if last:
+            yield t.slice(0, last)
+        rest = t.slice(last)
+    if rest is not None:
+        yield rest
+
+
+def _runs(t: pa.Table, key: str) -> Iterator[tuple[int, int]]:
+    k = np.asarray(t.column(key))
+    cut = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)).tolist()
+    return zip(cut[:-1], cut[1:], strict=True)
+
+
+def _shared(signed: DataFrame, named: bool = False) -> DataFrame:
+    """Who shares a signature with whom: (sig, centre, node), where centre is the
+    smallest document of a bucket's signature, and sig is null. Of hot signatures,
+    and of all if named, each document has a row with sig, without a centre."""
+
+    def of_bucket(bucket: int, sigs: list, nodes: list, hot: list) -> pa.RecordBatch:
+        name, centre, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def tell(names: np.ndarray, found: np.ndarray) -> None:
+            name.append(names)
+            other.append(found)
+
+        low, node, flagged = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for h, x, v in zip(hot, sigs, nodes, strict=True):
+            x, v = whole_numbers(x.as_buffer()), np.frombuffer(v.as_buffer(), np.uint8)
+            if h is None or len(x):
+                low.append(x)
+                node.append(v.reshape(8, -1).T.copy().view(np.int64).ravel())
+            else:
+                tell(np.full(len(v) // 8, h, np.int64), v.view(np.int64))
+            if h is not None and len(x):
+                flagged.append(x[0])
+        low, node = np.concatenate(low), np.concatenate(node)
+        order = np.lexsort((node, low))
+        low, node = low[order], node[order]
+        run = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
+        count = np.diff(np.append(run, len(low)))
+        by_name = np.repeat(np.isin(low[run], np.array(flagged, np.uint64)) | (named & (count > 1)), count)
+        tell(name_of(np.uint64(bucket), low[by_name]).view(np.int64), node[by_name])
+        first = np.repeat(node[run], count)
+        pair = ~by_name & (first != node)
+        both = np.unique(np.stack([first[pair], node[pair]]), axis=1) if pair.any() else np.zeros((2, 0), np.int64)
+        centre.append(both[0])
+        other.append(both[1])
+        name, centre = np.concatenate(name), np.concatenate(centre)
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(name), none(len(centre))]), pa.concat_arrays([none(len(name)), pa.array(centre)]), pa.array(np.concatenate(other))], names=["sig", "centre", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
-            ok = np.zeros(len(a), bool)
-            for i, (p, q) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                if 100 * min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    ok[i] = 100 * shared >= threshold * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
-
-
-def _possible(tiles: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that their sketches don't rule out, from rows (tile, node,
-    label, size, sketch, lead) that lie together by tile: leads against all
-    rows of their tile that have another label."""
-
-    def compare(node: np.ndarray, label: np.ndarray, size: np.ndarray, raw: list, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        heads, rest = np.flatnonzero(lead), np.flatnonzero(~lead)
-        if not len(heads) or not len(rest):
-            return node[:0], node[:0]
-        cells = min(len(r) for r in raw)
-        m = np.stack([folded(raw[i], cells) for i in rest])
-        out_a, out_b = [], []
-        for h in heads:
-            open_ = (label[rest] != label[h]) & (100 * np.minimum(size[rest], size[h]) >= threshold * np.maximum(size[rest], size[h]))
-            at = np.flatnonzero(open_)
-            if len(at):
-                apart = (m[at] != folded(raw[h], cells)).sum(axis=1)
-                hit = rest[at[apart * (100 + threshold) <= (100 - threshold) * (size[rest[at]] + size[h])]]
-                out_a.append(np.minimum(node[hit], node[h]))
-                out_b.append(np.maximum(node[hit], node[h]))
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (node[:0], node[:0])
+        for t in _by_runs(batches, "bucket"):
+            for a, b in _runs(t, "bucket"):
+                part = t.slice(a, b - a)
+                yield of_bucket(part.column("bucket")[0].as_py(), list(part.column("sigs")), list(part.column("nodes")), part.column("hot").to_pylist())
+
+    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, centre long, node long")
+
+
+def _counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets of unsigned integers."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(flat)))
+    shared = np.repeat(count > 1, count)
+    column, owner = np.cumsum(new[shared]) - 1, owner[shared]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        m = np.zeros((len(sets), min(_COLUMNS, int(column[b - 1]) - first + 1)), np.float32)
+        m[owner[a:b], column[a:b] - first] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _forest(linked: np.ndarray) -> tuple[list, list]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    seen, out_a, out_b = np.zeros(len(linked), bool), [], []
+    for first in np.flatnonzero(linked.any(axis=1)).tolist():
+        todo = [] if seen[first] else [first]
+        seen[first] = True
+        while todo:
+            v = todo.pop()
+            near = np.flatnonzero(linked[v] & ~seen)
+            seen[near] = True
+            out_a.append(np.full(len(near), v))
+            out_b.append(near)
+            todo.extend(near.tolist())
+    return out_a, out_b
+
+
+def _links(tiles: DataFrame, threshold: int, every: bool) -> DataFrame:
+    """Links (a, b), a < b, from rows (tile, node, lead, rest, elements): of each
+    tile's leading sets with its other ones. Of each tile a spanning forest, or
+    all with `every`."""
+
+    def of_tile(node: np.ndarray, lead: np.ndarray, rest: np.ndarray, raw: list) -> tuple[np.ndarray, np.ndarray]:
+        sets = [whole_numbers(v.as_buffer()) for v in raw]
+        size = np.array([len(v) for v in sets])
+        both = _counts(sets)
+        linked = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+        linked &= (lead[:, None] & rest[None, :]) | (rest[:, None] & lead[None, :])
+        linked &= node[:, None] != node[None, :]
+        linked &= (size[:, None] > 0) & (size[None, :] > 0)
+        a, b = np.nonzero(linked) if every else (np.concatenate([np.zeros(0, int), *x]) for x in _forest(linked))
+        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def told(t: pa.Table) -> pa.RecordBatch:
-            tile = np.asarray(t.column("tile"))
-            cut = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile))
-            node, label, size, lead = (np.asarray(t.column(c)) for c in ("node", "label", "size", "lead"))
-            raw = [v.as_buffer() for v in t.column("sketch")]
-            found = [compare(node[x:y], label[x:y], size[x:y], raw[x:y], lead[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        for t in _by_runs(batches, "tile"):
+            node, lead, rest = (np.asarray(t.column(c)) for c in ("node", "lead", "rest"))
+            raw = list(t.column("elements"))
+            found = [of_tile(node[x:y], lead[x:y], rest[x:y], raw[x:y]) for x, y in _runs(t, "tile")]
             pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            tile = np.asarray(t.column("tile"))
-            last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if (tile != tile[-1]).any() else 0
-            if last:
-                yield told(t.slice(0, last))
-            rest = t.slice(last)
-        if rest is not None:
-            yield told(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
+def _blocks(n: str, elements: str) -> str:
+    """SQL for the number of blocks that so many sets with so many elements take."""
+    return f"greatest(ceil({n} / {TILE}), ceil({elements} / {TILE_ELEMENTS}))"
+
+
 class Join:
-    """Classes, candidate groups and verified links of one table of documents."""
+    """Classes, candidate groups and links of one table of documents."""
 
-    def __init__(self, docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text"):
-        self.threshold = threshold
+    def __init__(self, docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text", every: bool = False):
+        self.threshold, self.every = threshold, every
         found = materialise(_sizes(docs, text, n), "sets")
         twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = materialise(twice.drop("n"), "classes")
         named = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
         self.members = materialise(sized_join(found, twice, ["h1", "h2"], "left", ["doc_id"]).select("doc_id", "n_shingles", named.alias("class")), "members")
         release(found, twice)
-        by_sig = Window.partitionBy("sig")
-        met = _signed(docs, text, n, threshold).select("node", F.bit_xor(F.xxhash64("node")).over(by_sig).alias("grp"), F.min("node").over(by_sig).alias("lo"), F.max("node").over(by_sig).alias("hi"))
-        raw = materialise(met.where("lo < hi").select("grp", "node").distinct(), "met")
-        nodes = materialise(raw.select(F.col("node").alias("doc_id")).distinct(), "nodes")
-        known = materialise(sized_join(self.members.where("doc_id is not null and n_shingles > 0"), nodes, ["doc_id"]).select(F.col("doc_id").alias("node"), "class").distinct(), "known")
-        grouped = materialise(raw.join(known, "node").select("grp", F.col("class").alias("node")).distinct(), "grouped")
-        # groups of the same classes are one group
-        prints = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("print"), F.min("node").alias("least")).where("n > 1")
-        self.groups = materialise(grouped.join(prints, "grp").select(F.col("print").alias("grp"), "node", "least").distinct(), "groups")
-        ids = materialise(self.groups.select(F.col("node").alias("doc_id")).distinct(), "candidates")
-        self.sets = materialise(sized_join(docs.select("doc_id", text), ids, ["doc_id"], most=5 * BROADCAST_ROWS).transform(lambda d: _sets_of(d, text, n)), "elements")
-        release(raw, nodes, known, grouped, ids)
-
-    def stars(self) -> DataFrame:
-        """Links between each group's classes and its smallest one."""
-        pairs = self.groups.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        return materialise(_verify(pairs, self.sets, self.threshold), "stars")
-
-    def across(self, labels: DataFrame | None) -> DataFrame:
-        """Links between classes of a group whose labels (node, label) differ;
-        without labels, all links."""
+        elements = self.members.agg(F.sum("n_shingles")).first()[0] or 0
+        # about 2.5 k signatures a set, of which k is a part of its size
+        buckets = max(LEAST_BUCKETS, int(5 * elements * (100 - threshold) / (100 + threshold)) // BUCKET)
+        self.signed = lambda d: _signed(d, text, n, threshold, buckets)
+        raw = materialise(_shared(self.signed(docs)), "shared")
+        known = self.members.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("node"), "class").agg(F.max("n_shingles").alias("size"))
+        hot = raw.where("sig is not null").select("sig", "node")
+        centres = hot.groupBy("sig").agg(F.min("node").alias("centre"))
+        met = raw.where("sig is null").select("centre", "node").union(hot.join(centres, "sig").where("centre != node").select("centre", "node")).distinct()
+        # by class; a centre belongs to its group
+        ends = met.join(known, "node").select("centre", F.col("class").alias("node"), "size").join(known.select(F.col("node").alias("centre"), F.col("class").alias("at"), F.col("size").alias("own")), "centre")
+        pairs = materialise(ends.where("at != node").groupBy(F.col("at").alias("centre"), "node").agg(F.max("size").alias("size"), F.max("own").alias("own")), "pairs")
+        self.merged = materialise(pairs.select("centre", "node", "size").union(pairs.groupBy("centre").agg(F.max("own").alias("size")).select("centre", F.col("centre").alias("node"), "size")), "merged")
+        self.sizes = materialise(self.merged.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")).withColumn("blocks", F.expr(_blocks("n", "elements")).cast("int")), "sizes")
+        ids = materialise(self.merged.select(F.col("node").alias("doc_id")).distinct(), "candidates")
+        self.texts = docs.select("doc_id", text)
+        self.sets = materialise(sized_join(self.texts, ids, ["doc_id"], most=5 * BROADCAST_ROWS).transform(lambda d: _sets_of(d, text, n)), "elements")
+        release(raw, pairs, ids)
+
+    def _compared(self, rows: DataFrame, tag: str) -> DataFrame:
+        """The links of rows (tile, node, lead, rest)."""
+        tiles = rows.join(self.sets, "node").select("tile", "node", "lead", "rest", "elements").repartition("tile").sortWithinPartitions("tile")
+        return materialise(_links(tiles, self.threshold, self.every), tag)
+
+    def first(self) -> DataFrame:
+        """Links of the groups that fit a tile, and those between each larger one's
+        classes and its centre."""
+        sized = self.merged.join(self.sizes.select("centre", "blocks"), "centre")
+        yes, no = F.lit(True), F.lit(False)
+        whole = sized.where("blocks = 1").select(F.xxhash64("centre").alias("tile"), "node", yes.alias("lead"), yes.alias("rest"))
+        large = sized.where("blocks > 1")
+        part = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        arms = large.where("node != centre").select(F.xxhash64("centre", part).alias("tile"), "node", no.alias("lead"), yes.alias("rest"))
+        each = self.sizes.where("blocks > 1").select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("part"))
+        heads = each.select(F.xxhash64("centre", "part").alias("tile"), F.col("centre").alias("node"), yes.alias("lead"), no.alias("rest"))
+        return self._compared(whole.union(arms).union(heads), "first")
+
+    def across(self, labels: DataFrame | None) -> DataFrame | None:
+        """In groups larger than a tile, links between classes whose labels (node,
+        label) differ; without labels, all links. None if there is no such group."""
+        large = self.sizes.where("blocks > 1")
+        if not has_rows(large):
+            return None
+        # over single signatures where that needs fewer rows in tiles
+        held = self.merged.join(large.select("centre"), "centre")
+        ids = materialise(held.select(F.col("node").alias("doc_id")).distinct(), "held")
+        again = _shared(self.signed(sized_join(self.texts, ids, ["doc_id"], most=5 * BROADCAST_ROWS)), named=True).where("sig is not null").select("sig", "node").distinct()
+        single = materialise(again.join(held, "node"), "single")
+        each = single.groupBy("centre", "sig").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+        costs = each.withColumn("cost", F.expr(f"n * {_blocks('n', 'elements')}")).groupBy("centre").agg(F.sum("cost").alias("cost"))
+        apart = costs.join(large, "centre").where("cost < n * blocks").select("centre")
+        chosen = each.join(apart, "centre").select("centre", "sig")
+        split = single.join(chosen, ["centre", "sig"]).select(F.xxhash64("centre", "sig").alias("grp"), "node", "size")
+        merged = held.join(apart, "centre", "left_anti").select(F.xxhash64("centre").alias("grp"), "node", "size")
+        groups = split.union(merged)
         if labels is None:
-            marked = self.groups.select("grp", "node", F.col("node").alias("label"))
+            marked = groups.withColumn("label", F.col("node"))
         else:
-            marked = self.groups.join(labels.select("node", "label"), "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
+            marked = groups.join(labels.select("node", "label"), "node", "left").select("grp", "node", "size", F.coalesce("label", "node").alias("label"))
         marked = materialise(marked, "labelled")
-        parts = marked.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-        sizes = parts.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("label").alias("major"))).alias("top"), F.count(F.lit(1)).alias("labels"))
-        sizes = sizes.where("labels > 1").select("grp", F.expr("int((n + {0} - 1) div {0})".format(TILE)).alias("blocks"), F.expr("int((n - top.n + {0} - 1) div {0})".format(TILE)).alias("leads"), "top.major")
-        open_ = marked.join(sizes, "grp")
+        parts = marked.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+        open_ = parts.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("elements").alias("elements"), F.max(F.struct("n", "elements", F.col("label").alias("major"))).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        minor = "0" if self.every else "top.n", "0" if self.every else "top.elements"
+        open_ = open_.select("grp", F.expr(_blocks("n", "elements")).cast("long").alias("blocks"), F.expr(_blocks(f"(n - {minor[0]})", f"(elements - {minor[1]})")).cast("long").alias("leads"), "top.major")
+        open_ = marked.join(open_, "grp")
         # a row for each tile in which a class is compared, and in which it leads
-        block = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 30))
-        all_ = open_.select("grp", "node", "label", F.lit(False).alias("lead"), (block(0) % F.col("blocks")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("leads").cast("long") - 1)).alias("p"))
-        lead = open_.where("label != major").select("grp", "node", "label", F.lit(True).alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("m"), (block(1) % F.col("leads")).alias("p"))
-        rows = all_.unionByName(lead).select(F.xxhash64("grp", "m", "p").alias("tile"), "node", "label", "lead")
-        tiles = rows.join(self.sets.select(F.col("doc_id").alias("node"), "size", "sketch"), "node").repartition("tile").sortWithinPartitions("tile")
-        pairs = materialise(_possible(tiles.select("tile", "node", "label", "size", "sketch", "lead"), self.threshold), "possible")
-        out = materialise(_verify(pairs, self.sets, self.threshold), "across")
-        release(marked, pairs)
+        block = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        rest = open_.select("grp", "node", F.lit(False).alias("lead"), F.lit(True).alias("rest"), block(0, "blocks").alias("m"), upto("leads").alias("p"))
+        leads = open_ if self.every else open_.where("label != major")
+        lead = leads.select("grp", "node", F.lit(True).alias("lead"), F.lit(False).alias("rest"), upto("blocks").alias("m"), block(1, "leads").alias("p"))
+        out = self._compared(rest.union(lead).select(F.xxhash64("grp", "m", "p").alias("tile"), "node", "lead", "rest"), "across")
+        release(marked, single, ids)
         return out
 
     def close(self) -> None:
-        release(self.groups, self.sets)
+        release(self.merged, self.sizes, self.sets)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text") -> DataFrame:
@@ -296,14 +496,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: int = 90, text: s
     doc_id that can be reached by links, itself included)."""
     with batches_of(docs.sparkSession, BATCH_ROWS):
         j = Join(docs, n, threshold, text)
-        stars = j.stars()
-        labels = components(stars)
+        links = j.first()
+        labels = components(links)
         more = j.across(labels)
-    if has_rows(more):
+    if more is not None and has_rows(more):
         release(labels)
-        labels = components(stars.union(more))
+        labels = components(links.union(more))
     j.close()
-    release(stars, more)
+    release(links, *[more] * (more is not None))
     out = sized_join(j.members, labels.select(F.col("node").alias("class"), "label"), ["class"], "left", ["doc_id"])
     return out.select("doc_id", "n_shingles", F.coalesce("label", "class").alias("component_id"))
 
@@ -312,7 +512,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, threshold: int = 90, text: str =
     """All links (a, b) between classes of equal sets, each named by its
     smallest doc_id, and the membership (doc_id, n_shingles, class)."""
     with batches_of(docs.sparkSession, BATCH_ROWS):
-        j = Join(docs, n, threshold, text)
-        links = j.across(None)
+        j = Join(docs, n, threshold, text, every=True)
+        links, more = j.first(), j.across(None)
     j.close()
-    return links, j.members
+    return links if more is None else links.union(more).distinct(), j.members

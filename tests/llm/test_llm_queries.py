@@ -36,7 +36,7 @@ def test_stages_take_effect(spark, small):
         elif name == "exact dedup":
             want = Counter(r.doc_id for r in exact_dedup.dedup(docs).where("kept").collect())
         elif name == "n-gram Jaccard join":
-            want = Counter(r.doc_id for r in ngram_join.jaccard_components(docs).where("doc_id = component_id").collect())
+            want = Counter(r.doc_id for r in ngram_join.jaccard_components(docs, n=5, threshold=80).where("doc_id = component_id").collect())
         elif name == "mixing":
             want = Counter({r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies})
         else:

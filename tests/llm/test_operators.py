@@ -25,6 +25,10 @@ def shipped(spark):
     ship(spark)
 
 
+def prose(rng, n):
+    return " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "epsilon", "zeta")) + str(rng.randrange(400)) for _ in range(n))
+
+
 def words(t):
     return WORD.findall(t or "")
 
@@ -118,6 +122,25 @@ def test_bpe_of_odd_characters():
         assert ids[at[k] : at[k + 1]].tolist() == x.ids
 
 
+def test_bpe_of_long_words():
+    import string
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, rng = queries.vocabulary_path(), random.Random(7)
+    lib, v = Tokenizer.from_file(path), bpe.vocabulary(path)
+    words = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet, n in (("a", 999), ("ab", 2000), (string.ascii_letters, 5000), (string.ascii_letters + string.digits + "+/", 1_000_000))]
+    bpe.Encoder(v).encode(["warm"])
+    began = time.perf_counter()
+    ids, at = bpe.Encoder(v).encode([*words, "short words too"])
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    for k, w in enumerate([*words, "short words too"]):
+        assert ids[at[k] : at[k + 1]].tolist() == lib.encode(w, add_special_tokens=False).ids
+    assert took < 10 * (time.perf_counter() - began) + 1
+
+
 # n-gram join
 
 
@@ -171,6 +194,93 @@ def test_signatures_are_shared_by_close_sets():
                 assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+def components_of(sets, t):
+    ids, up = sorted(sets), {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if linked(sets[i], sets[j], t):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: root(i) for i in ids}
+
+
+def family(rng, n, words, edits, vocabulary=4000):
+    """Texts that differ from one base in up to so many words each."""
+    base, out = [f"w{rng.randrange(vocabulary)}" for _ in range(words)], []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.randrange(edits + 1)):
+            w[k] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+@pytest.mark.parametrize(("n", "t"), [(5, 80), (3, 90)])
+def test_large_groups_near_the_threshold(spark, monkeypatch, tile, n, t):
+    """A family most of whose pairs lie just under or over the threshold, in one
+    tile and in many; tiles give at most a row for each of their sets."""
+    rng = random.Random(13)
+    texts = family(rng, 220, 150, 9) + family(rng, 120, 60, 3) + [prose(rng, 80) for _ in range(100)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    sent = []
+    links = ngram_join.Join._compared
+
+    def counted(self, rows, tag):
+        out = links(self, rows, tag)
+        sent.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join.Join, "_compared", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, n, t).collect()}
+    assert got == components_of({i: sets_of(x, n) for i, x in enumerate(texts)}, t)
+    assert all(out <= rows for rows, out in sent)
+    assert len(sent) == (1 if tile == 512 else 2)
+
+
+def test_signatures_of_many_sets_in_one_task(spark, monkeypatch):
+    """More sets of a task share a signature than HOT: they go under its name."""
+    rng = random.Random(17)
+    texts = family(rng, 260, 80, 2) + [prose(rng, 70) for _ in range(30)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = ngram_join._signed(docs, "text", 5, 80, 512).where("hot is not null")
+    assert rows.count() > 0 and rows.where("length(sigs) > 0").count() * 2 == rows.count()
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 5, 80).collect()}
+    assert got == components_of({i: sets_of(x, 5) for i, x in enumerate(texts)}, 80)
+
+
+@pytest.mark.parametrize(("n", "t", "most"), [(3, 90, 1500), (5, 80, 6000)])
+def test_unrelated_small_sets_share_few_signatures(n, t, most):
+    """20,000 sets of 19 shingles with nothing in common: few share a signature,
+    and no signature is shared by many."""
+    rng = np.random.default_rng(3)
+    sets = np.sort(rng.integers(0, 2**63, (20_000, 19)).astype(np.uint64), axis=1).ravel()
+    sig, owner = ngram_join.signatures(sets, np.arange(20_001) * 19, t)
+    _, count = np.unique(sig, return_counts=True)
+    assert count[count > 1].sum() <= most and count.max() <= 12
+    assert len(sig) <= 40 * 20_000
+
+
+def test_signatures_of_poor_sets():
+    """Small sets at the threshold, many of whose cells are empty, share one."""
+    rng = np.random.default_rng(5)
+    for size in range(5, 60):
+        for t in (80, 90):
+            k = (100 - t) * size // 100
+            for _ in range(40 if k else 0):
+                a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                b = np.sort(a[rng.permutation(size)[: size - k]])
+                sig, owner = ngram_join.signatures(np.concatenate([a, b]), np.array([0, size, 2 * size - k]), t)
+                assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+
+
 def test_join_on_no_rows(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
@@ -304,13 +414,20 @@ def test_mix_comes_near_and_repeats(spark, empty):
     assert with_text.agg(F.sum("taken")).first()[0] == sum(taken.values()) and "text" in with_text.columns
 
 
+def test_mix_of_clashing_names(odd):
+    docs = odd.withColumns({"copies": F.lit(1), "position": F.lit(2), "m": F.create_map(F.lit("k"), F.lit(1))})
+    got = mixing.mix(docs, carry=[*docs.columns])
+    assert "m" in got.columns and len(set(got.columns)) == len(got.columns)
+    key = lambda df: Counter(map(tuple, df.select("doc_id", "size", "taken").collect()))
+    assert key(got) == key(mixing.mix(odd))
+
+
 # exact dedup
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_dedup_is_brute_force(odd, most, monkeypatch):
-    full = exact_dedup.survivors
-    monkeypatch.setattr(exact_dedup, "survivors", lambda d, t="text": full(d, t, most))
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_dedup_is_brute_force(odd, bits, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SIEVE_BITS", bits)
     groups = defaultdict(list)
     for r in odd.collect():
         groups[(r.text or "").translate(LOW)].append(r.doc_id)
@@ -328,6 +445,24 @@ def test_dedup_is_brute_force(odd, most, monkeypatch):
     assert exact_dedup.keep(odd).count() == len(groups) and exact_dedup.keep(odd).columns == odd.columns
 
 
+def test_each_stage_reads_fewer_rows(spark):
+    rng = random.Random(4)
+    texts = ["x" * n for n in range(1, 400)] + ["Abc " + prose(rng, 40)[:300] for _ in range(300)] + ["a b " + "same text " * 40] * 5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bytes_, heads = Counter(len(t) for t in texts), Counter((len(t), t[:128].translate(LOW)) for t in texts)
+    want = {"rows": len(texts), "prefix": sum(n for n in bytes_.values() if n > 1), "whole": sum(n for n in heads.values() if n > 1)}
+    assert exact_dedup.stages(docs) == want and want["rows"] > want["prefix"] > want["whole"] > 0
+
+
+def test_dedup_of_clashing_names(odd):
+    names = ["_twice", "_print", "_head", "_bytes", "_word", "_mask", "_text", "_row", "keep_id", "group_size", "kept"]
+    docs = odd.drop("kept").withColumns({n: F.lit(n) for n in names})
+    plain = odd.select("doc_id", "text")
+    assert Counter(map(tuple, exact_dedup.dedup(docs).collect())) == Counter(map(tuple, exact_dedup.dedup(plain).collect()))
+    kept = exact_dedup.keep(docs)
+    assert kept.columns == docs.columns and all(r._twice == "_twice" and r.kept == "kept" for r in kept.collect())
+
+
 def test_dedup_on_no_rows(empty):
     assert exact_dedup.dedup(empty).count() == 0 and exact_dedup.keep(empty).count() == 0
 
@@ -367,9 +502,106 @@ def test_few_rows_in_shards(spark):
     assert sorted(Counter(r.shard for r in sharding.shard(docs).collect()).values()) == [1] * 5
 
 
+def test_layouts_are_told_apart_below_the_first_element(spark):
+    import json
+
+    same = [{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, {"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}]}]
+    other = [{"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}, {"messages": [{"role": "user", "content": [{"type": "text"}]}]}, {"messages": [{"role": "user", "content": [{"kind": "text"}]}]}, {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}, {"a": {"b": {"c": {"d": {"e": 1}}}}}, "text", None]
+    df = spark.createDataFrame([(i, json.dumps(r) if r is not None else None) for i, r in enumerate([*same, *other])], "i int, record string")
+    got = {r.i: r for r in chat.canonical(df).collect()}
+    assert len({got[i].fingerprint for i in range(2)}) == 1
+    assert [[tuple(t) for t in got[i].turns] for i in range(2)] == [[("user", "a"), ("assistant", "b")], [("user", ""), ("assistant", "b")]]
+    assert len({got[i].fingerprint for i in range(7)}) == 6 and all(got[i].turns is None for i in range(2, 9))
+    assert sum(r.records for r in chat.unmapped(chat.canonical(df)).collect()) == 7
+    # texts that are JSON themselves are texts
+    quoted = spark.createDataFrame([(json.dumps({"prompt": '{"a": 1}', "response": "[Q] " + x}),) for x in ("", "[1]")] + [(json.dumps({"messages": [{"role": "user", "content": '[{"role": "x"}]'}]}),)], "record string")
+    assert [[tuple(t) for t in r.turns] for r in chat.canonical(quoted).collect()] == [[("user", '{"a": 1}'), ("assistant", "[Q] " + x)] for x in ("", "[1]")] + [[("user", '[{"role": "x"}]')]]
+
+
+def test_chats_of_odd_rows(spark):
+    long = "x<|" + "y" * 20_000_001
+    rows = [(1, 0, "user,assistant", "one"), (2, 0, "user", long), (2, 1, "assistant", long), (3, 0, None, None), (4, 0, "user", "q"), (5, 0, "assistant", ""), (5, 0, "assistant", "")]
+    df = spark.createDataFrame([], "conv_id long, turn int, role string, text string").unionByName(
+        spark.createDataFrame([r for r in rows if r[3] != long], "conv_id long, turn int, role string, text string")
+    ).unionByName(spark.range(2).selectExpr("2L as conv_id", "int(id) as turn", "if(id = 0, 'user', 'assistant') as role", "concat('x<|', repeat('y', 20000001)) as text"))
+    read = chat.read_back(chat.format_turns(chat.canonical(chat.as_records(df))))
+    got = {r.conv_id: r for r in read.select("conv_id", F.transform("read_turns", lambda t: F.struct(t["role"], F.sha2(t["text"].cast("binary"), 256), F.length(t["text"]))).alias("t"), F.transform("loss_texts", lambda x: F.length(x)).alias("loss")).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert [tuple(x) for x in got[1].t] == [("user,assistant", sha("one"), 3)]
+    assert [tuple(x) for x in got[2].t] == [("user", sha(long), len(long)), ("assistant", sha(long), len(long))] and got[2].loss == [len(long)]
+    assert [tuple(x) for x in got[3].t] == [("unknown", sha(""), 0)]
+    assert [x[0] for x in got[5].t] == ["assistant"] * 2 and got[5].loss == [0, 0]
+
+
 # rollups
 
 
+def test_rollup_counts_real_tokens(spark, odd, empty):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    paths = {k: public_tokenizers.path(v) for k, v in queries.VERSIONS.items()}
+    one = Tokenizer.from_file(paths["byte_bpe_50k"])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(paths["byte_bpe_multi_50k"], "rb"))}
+    two = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter((r.doc_id, r.source, r.lang, len(one.encode(r.text or "", add_special_tokens=False).ids), len(two.encode_ordinary(r.text or ""))) for r in odd.collect())
+    assert Counter(map(tuple, token_rollup.counts(odd, paths).collect())) == want
+    assert token_rollup.counts(empty, paths).count() == 0
+
+
+def test_rollup_query_is_brute_force(spark, small):
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    toxic = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").where("toxic = 1").collect()}
+    found = token_rollup.counts(docs, {k: public_tokenizers.path(v) for k, v in queries.VERSIONS.items()}).collect()
+    want = defaultdict(lambda: [0, 0])
+    for r in found:
+        if r.doc_id is None or r.doc_id not in toxic:
+            for v in queries.VERSIONS:
+                want[r.source, r.lang, v][0] += 1
+                want[r.source, r.lang, v][1] += r[v]
+    assert {tuple(r)[:3]: list(r)[3:] for r in queries.op8_token_rollup(spark, small).collect()} == want
+
+
+def test_rollup_takes_batches_during_compaction(spark, tmp_path, monkeypatch):
+    c = spark.createDataFrame([(1, "a", "en", 5)], "doc_id long, source string, lang string, n long")
+    r, other = token_rollup.Rollup(spark, str(tmp_path / "r")), token_rollup.Rollup(spark, str(tmp_path / "r"))
+    r.commit("1", token_rollup.inserts(c, "v", "n"))
+    plain = r._sums
+
+    def late(g, batches):  # another writer commits between the list of batches and their sums
+        other.commit("2", token_rollup.inserts(c, "v", "n"))
+        return plain(g, batches)
+
+    monkeypatch.setattr(r, "_sums", late)
+    assert r.compact()
+    monkeypatch.undo()
+    assert [x.tokens for x in r.totals().collect()] == [10] and not r.commit("2", token_rollup.inserts(c, "v", "n"))
+    r.compact()
+    r.compact()
+    assert [x.tokens for x in r.totals().collect()] == [10] and r._names("batches") == []
+    assert not r.commit("1", token_rollup.inserts(c, "v", "n")) and not other.commit("2", token_rollup.inserts(c, "v", "n"))
+
+
+def test_one_of_two_writers_of_a_batch_succeeds(spark, tmp_path, monkeypatch):
+    c = spark.createDataFrame([(1, "a", "en", 5)], "doc_id long, source string, lang string, n long")
+    r, other = token_rollup.Rollup(spark, str(tmp_path / "r")), token_rollup.Rollup(spark, str(tmp_path / "r"))
+    plain, done = r._publish, []
+
+    def second(staged, path):
+        if not done:
+            done.append(other.commit("1", token_rollup.inserts(c, "v", "n")))
+        return plain(staged, path)
+
+    monkeypatch.setattr(r, "_publish", second)
+    assert not r.commit("1", token_rollup.inserts(c, "v", "n")) and done == [True]
+    assert [x.tokens for x in r.totals().collect()] == [5]
+
+
 def test_rollup_replays_and_compacts(spark, tmp_path):
     c = spark.createDataFrame([(1, "a", "en", 5, 6), (2, "a", None, 7, 7), (3, None, "en", None, 1)], "doc_id long, source string, lang string, old long, new long")
     r = token_rollup.Rollup(spark, str(tmp_path / "r"))
