@@ -24,8 +24,7 @@ its sets make a matrix whose product with itself counts all intersections, and
 the tile gives a spanning forest of its links, fewer rows than it has sets. In
 a larger one all classes are first held against the centre, in tiles; classes
 outside the largest component that results are then compared with all of
-others, in tiles, over the merged group or its single signatures, whichever
-compares less. So no group is collected, no group's pairs are emitted, and no
+others, in tiles. So no group is collected, no group's pairs are emitted, and no
 link that could join two components is left out. jaccard_links() gives every
 link between classes by the same tiles.
 
@@ -288,10 +287,10 @@ def _runs(t: pa.Table, key: str) -> Iterator[tuple[int, int]]:
     return zip(cut[:-1], cut[1:], strict=True)
 
 
-def _shared(signed: DataFrame, named: bool = False) -> DataFrame:
+def _shared(signed: DataFrame) -> DataFrame:
     """Who shares a signature with whom: (sig, centre, node), where centre is the
-    smallest document of a bucket's signature, and sig is null. Of hot signatures,
-    and of all if named, each document has a row with sig, without a centre."""
+    smallest document of a bucket's signature, and sig is null. Of hot signatures
+    each document has a row with sig, without a centre."""
 
     def of_bucket(bucket: int, sigs: list, nodes: list, hot: list) -> pa.RecordBatch:
         name, centre, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -315,7 +314,7 @@ def _shared(signed: DataFrame, named: bool = False) -> DataFrame:
         low, node = low[order], node[order]
         run = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
         count = np.diff(np.append(run, len(low)))
-        by_name = np.repeat(np.isin(low[run], np.array(flagged, np.uint64)) | (named & (count > 1)), count)
+        by_name = np.repeat(np.isin(low[run], np.array(flagged, np.uint64)), count)
         tell(name_of(np.uint64(bucket), low[by_name]).view(np.int64), node[by_name])
         first = np.repeat(node[run], count)
         pair = ~by_name & (first != node)
@@ -415,8 +414,7 @@ class Join:
         elements = self.members.agg(F.sum("n_shingles")).first()[0] or 0
         # about 2.5 k signatures a set, of which k is a part of its size
         buckets = max(LEAST_BUCKETS, int(5 * elements * (100 - threshold) / (100 + threshold)) // BUCKET)
-        self.signed = lambda d: _signed(d, text, n, threshold, buckets)
-        raw = materialise(_shared(self.signed(docs)), "shared")
+        raw = materialise(_shared(_signed(docs, text, n, threshold, buckets)), "shared")
         known = self.members.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("node"), "class").agg(F.max("n_shingles").alias("size"))
         hot = raw.where("sig is not null").select("sig", "node")
         centres = hot.groupBy("sig").agg(F.min("node").alias("centre"))
@@ -427,8 +425,7 @@ class Join:
         self.merged = materialise(pairs.select("centre", "node", "size").union(pairs.groupBy("centre").agg(F.max("own").alias("size")).select("centre", F.col("centre").alias("node"), "size")), "merged")
         self.sizes = materialise(self.merged.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")).withColumn("blocks", F.expr(_blocks("n", "elements")).cast("int")), "sizes")
         ids = materialise(self.merged.select(F.col("node").alias("doc_id")).distinct(), "candidates")
-        self.texts = docs.select("doc_id", text)
-        self.sets = materialise(sized_join(self.texts, ids, ["doc_id"], most=5 * BROADCAST_ROWS).transform(lambda d: _sets_of(d, text, n)), "elements")
+        self.sets = materialise(sized_join(docs.select("doc_id", text), ids, ["doc_id"], most=5 * BROADCAST_ROWS).transform(lambda d: _sets_of(d, text, n)), "elements")
         release(raw, pairs, ids)
 
     def _compared(self, rows: DataFrame, tag: str) -> DataFrame:
@@ -455,18 +452,7 @@ class Join:
         large = self.sizes.where("blocks > 1")
         if not has_rows(large):
             return None
-        # over single signatures where that needs fewer rows in tiles
-        held = self.merged.join(large.select("centre"), "centre")
-        ids = materialise(held.select(F.col("node").alias("doc_id")).distinct(), "held")
-        again = _shared(self.signed(sized_join(self.texts, ids, ["doc_id"], most=5 * BROADCAST_ROWS)), named=True).where("sig is not null").select("sig", "node").distinct()
-        single = materialise(again.join(held, "node"), "single")
-        each = single.groupBy("centre", "sig").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
-        costs = each.withColumn("cost", F.expr(f"n * {_blocks('n', 'elements')}")).groupBy("centre").agg(F.sum("cost").alias("cost"))
-        apart = costs.join(large, "centre").where("cost < n * blocks").select("centre")
-        chosen = each.join(apart, "centre").select("centre", "sig")
-        split = single.join(chosen, ["centre", "sig"]).select(F.xxhash64("centre", "sig").alias("grp"), "node", "size")
-        merged = held.join(apart, "centre", "left_anti").select(F.xxhash64("centre").alias("grp"), "node", "size")
-        groups = split.union(merged)
+        groups = self.merged.join(large.select("centre"), "centre").select(F.xxhash64("centre").alias("grp"), "node", "size")
         if labels is None:
             marked = groups.withColumn("label", F.col("node"))
         else:
@@ -484,7 +470,7 @@ class Join:
         leads = open_ if self.every else open_.where("label != major")
         lead = leads.select("grp", "node", F.lit(True).alias("lead"), F.lit(False).alias("rest"), upto("blocks").alias("m"), block(1, "leads").alias("p"))
         out = self._compared(rest.union(lead).select(F.xxhash64("grp", "m", "p").alias("tile"), "node", "lead", "rest"), "across")
-        release(marked, single, ids)
+        release(marked)
         return out
 
     def close(self) -> None:
