@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assocframe.llm.text import buffers, byte_values, slices, span_hashes, word_spans
 
-#: Labelled rows that a fit takes at most, and the most features of one of them.
+#: Labelled rows that a fit takes at most.
 SAMPLE = 8_000
 _SHAPE, _STEM = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -140,7 +140,7 @@ def collect_sample(rows: DataFrame, text: str, share: bool) -> tuple[np.ndarray,
     return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, "<f4"), *vals]).astype(float), at, np.asarray(got.column("grade")), np.asarray(got.column("doc_id"))
 
 
-def fit(keys: np.ndarray, vals: np.ndarray, at: np.ndarray, grades: np.ndarray, grade_count: int, share: bool, ridge: float = 1e-3, min_docs: int = 8, z: float = 5.0, most: int = 3_000, rounds: int = 15) -> Model:
+def fit(keys: np.ndarray, vals: np.ndarray, at: np.ndarray, grades: np.ndarray, grade_count: int, share: bool, ridge: float = 1e-3, min_docs: int = 8, z: float = 5.0, rounds: int = 15) -> Model:
     """The model of flat features. Without rows, or without a feature that
     matters, there are no weights."""
     n, cuts = len(grades), grade_count - 1
@@ -156,7 +156,6 @@ def fit(keys: np.ndarray, vals: np.ndarray, at: np.ndarray, grades: np.ndarray,
     centred = np.bincount(col, vals * slope[row], len(vocabulary)) - n * mean * slope.mean()
     test = np.abs(centred) / np.sqrt(np.maximum(n * spread * slope.var(), 1e-300))
     kept = np.flatnonzero((met >= min_docs) & (test > z))
-    kept = np.sort(kept[np.argsort(-test[kept], kind="stable")[:most]])
     where = np.full(len(vocabulary), -1)
     where[kept] = np.arange(len(kept))
     use = where[col] >= 0
