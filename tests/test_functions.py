@@ -169,3 +169,11 @@ def test_lift_of_edges(spark):
     blocks = spark.createDataFrame([("1", 100, 2_500_000, "1", 5)], "CHR string, start long, end long, to_chr string, shift long")
     places = spark.createDataFrame([("1", 99), ("1", 100), ("1", 2_499_999), ("1", 2_500_000), ("2", 100)], "CHR string, POS long")
     assert {(r.CHR, r.POS): r.to_pos for r in ts.lift(places, blocks).collect()} == {("1", 99): None, ("1", 100): 105, ("1", 2_499_999): 2_500_004, ("1", 2_500_000): None, ("2", 100): None}
+
+
+def test_ids_above_two_to_the_53_stay_whole(spark):
+    from assocframe.operators import harmonise as h
+
+    raw = spark.createDataFrame([("1:5:A:G", "9007199254740993", "0.5", "1200"), ("2:6:C:T", "-9007199254740995", "x", None)], "m string, id string, b string, n string")
+    rows = h.standardise(raw, {"CHR": ["chrom"], "ROW": ["id"], "BETA": ["b"], "N": ["n"]}, "m").collect()
+    assert [tuple(r) for r in rows] == [("1", "9007199254740993", 0.5, 1200), ("2", "-9007199254740995", None, None)]
