@@ -19,7 +19,10 @@ must be equal as well (for a small k, into k + 2, two of which are).
 
 Sets that are equal form one class; only classes are joined. The groups of
 classes that share a signature are merged by their smallest class (the centre).
-A group that fits a tile is compared there as a whole: the shared elements of
+Each set has a sketch, the parities of its numbers of elements in so many cells;
+no more of them differ between two sets than elements do. In a group that fits a
+tile the sets whose sketches or sizes rule out a link with every other one are left out,
+and what remains is compared as a whole: the shared elements of
 its sets make a matrix whose product with itself counts all intersections, and
 the tile gives a spanning forest of its links, fewer rows than it has sets. In
 a larger one all classes are first held against the centre, in tiles; classes
@@ -62,6 +65,8 @@ HOT = 64
 REMEMBERED = 200_000
 #: Distinct elements of a tile that are counted at once.
 _COLUMNS = 4096
+#: Words of sketches that are held against each other at once.
+_WORDS = 1 << 20
 _CELLS = 3
 #: The largest k for which pairs of parts make the second partition's signatures.
 PAIRED = 8
@@ -185,17 +190,53 @@ def _sets_of(docs: DataFrame, text: str, n: int) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, "node long, elements binary")
 
 
-def _sizes(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): size and 128-bit fingerprint of each set."""
+def sketches(sets: np.ndarray, at: np.ndarray, threshold: int) -> list[bytes]:
+    """The parity sketch of each set, of a power of two of bits: four times the
+    largest difference of a link, or more. Halves XORed give the one half as long."""
+    size = np.diff(at)
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(1, 8 * size * (100 - threshold) / (100 + threshold)))).astype(np.int64))
+    first = np.append(0, np.cumsum(bits))
+    cell = (mix(sets + np.uint64(0x3C79AC492BA7B653)) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], size)
+    flat = np.packbits((np.bincount(cell, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [flat[a // 8 : b // 8].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def has_near(node: np.ndarray, size: np.ndarray, raw: list[bytes], threshold: int) -> np.ndarray:
+    """Which sets another node's set may link with, as far as sketches tell."""
+    words = np.array([len(x) // 8 for x in raw])
+    out = np.zeros(len(node), bool)
+    rows = np.zeros(0, np.int64)
+    m = np.zeros((0, 1), np.uint64)
+    for w in np.unique(words)[::-1].tolist():
+        while len(rows) and m.shape[1] > w:
+            m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+        mine = np.flatnonzero(words == w)
+        m = np.concatenate([m.reshape(-1, w), np.frombuffer(b"".join(raw[i] for i in mine), np.uint64).reshape(-1, w)])
+        rows = np.append(rows, mine)
+        step = max(1, _WORDS // (len(rows) * w))
+        for a in range(len(rows) - len(mine), len(rows), step):
+            b = min(a + step, len(rows))
+            apart = np.bitwise_count(m[a:b, None, :] ^ m[None]).sum(axis=2, dtype=np.int64)
+            one, other = size[rows[a:b], None], size[None, rows]
+            near = np.maximum(apart, abs(one - other)) * (100 + threshold) <= (100 - threshold) * (one + other)
+            near &= node[rows[a:b], None] != node[None, rows]
+            out[rows[a:b]] |= near.any(axis=1)
+            out[rows] |= near.any(axis=0)
+    return out
+
+
+def _sizes(docs: DataFrame, text: str, n: int, threshold: int) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, sketch): size, 128-bit fingerprint and sketch
+    of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 sets, at = text_sets(part, text, n)
                 h1, h2 = sums(mix(sets), at), sums(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "n_shingles", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sketches(sets, at, threshold), pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
 def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
@@ -395,6 +436,20 @@ def _links(tiles: DataFrame, threshold: int, every: bool) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
+def _near(tiles: DataFrame, threshold: int) -> DataFrame:
+    """The rows (centre, node, size, sketch), in runs by centre, whose sketches
+    leave a link with another node of their centre open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_runs(batches, "centre"):
+            node, size = np.asarray(t.column("node")), np.asarray(t.column("size"))
+            raw = t.column("sketch").to_pylist()
+            keep = np.concatenate([has_near(node[a:b], size[a:b], raw[a:b], threshold) for a, b in _runs(t, "centre")])
+            yield from t.select(["centre", "node", "size"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return tiles.mapInArrow(run, "centre long, node long, size long")
+
+
 def _blocks(n: str, elements: str) -> str:
     """SQL for the number of blocks that so many sets with so many elements take."""
     return f"greatest(ceil({n} / {TILE}), ceil({elements} / {TILE_ELEMENTS}))"
@@ -405,12 +460,12 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int = 3, threshold: int = 90, text: str = "text", every: bool = False):
         self.threshold, self.every = threshold, every
-        found = materialise(_sizes(docs, text, n), "sets")
+        found = materialise(_sizes(docs, text, n, threshold), "sets")
         twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = materialise(twice.drop("n"), "classes")
         named = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
         self.members = materialise(sized_join(found, twice, ["h1", "h2"], "left", ["doc_id"]).select("doc_id", "n_shingles", named.alias("class")), "members")
-        release(found, twice)
+        release(twice)
         elements = self.members.agg(F.sum("n_shingles")).first()[0] or 0
         # about 2.5 k signatures a set, of which k is a part of its size
         buckets = max(LEAST_BUCKETS, int(5 * elements * (100 - threshold) / (100 + threshold)) // BUCKET)
@@ -422,12 +477,23 @@ class Join:
         # by class; a centre belongs to its group
         ends = met.join(known, "node").select("centre", F.col("class").alias("node"), "size").join(known.select(F.col("node").alias("centre"), F.col("class").alias("at"), F.col("size").alias("own")), "centre")
         pairs = materialise(ends.where("at != node").groupBy(F.col("at").alias("centre"), "node").agg(F.max("size").alias("size"), F.max("own").alias("own")), "pairs")
-        self.merged = materialise(pairs.select("centre", "node", "size").union(pairs.groupBy("centre").agg(F.max("own").alias("size")).select("centre", F.col("centre").alias("node"), "size")), "merged")
-        self.sizes = materialise(self.merged.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")).withColumn("blocks", F.expr(_blocks("n", "elements")).cast("int")), "sizes")
+        merged = materialise(pairs.select("centre", "node", "size").union(pairs.groupBy("centre").agg(F.max("own").alias("size")).select("centre", F.col("centre").alias("node"), "size")), "merged")
+        sizes = materialise(self._sized(merged), "sizes")
+        small = merged.join(sizes.where("blocks = 1").select("centre"), "centre").select("centre", "node")
+        drawn = found.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "sketch")
+        near = _near(small.join(drawn, "node").select("centre", "node", "size", "sketch").repartition("centre").sortWithinPartitions("centre"), threshold)
+        near = near.groupBy("centre", "node").agg(F.max("size").alias("size"))
+        self.merged = materialise(merged.join(sizes.where("blocks > 1").select("centre"), "centre").select("centre", "node", "size").union(near), "near")
+        release(found, merged, sizes)
+        self.sizes = materialise(self._sized(self.merged), "sizes")
         ids = materialise(self.merged.select(F.col("node").alias("doc_id")).distinct(), "candidates")
         self.sets = materialise(sized_join(docs.select("doc_id", text), ids, ["doc_id"], most=5 * BROADCAST_ROWS).transform(lambda d: _sets_of(d, text, n)), "elements")
         release(raw, pairs, ids)
 
+    def _sized(self, merged: DataFrame) -> DataFrame:
+        """(centre, n, elements, blocks) of groups (centre, node, size)."""
+        return merged.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")).withColumn("blocks", F.expr(_blocks("n", "elements")).cast("int"))
+
     def _compared(self, rows: DataFrame, tag: str) -> DataFrame:
         """The links of rows (tile, node, lead, rest)."""
         tiles = rows.join(self.sets, "node").select("tile", "node", "lead", "rest", "elements").repartition("tile").sortWithinPartitions("tile")

@@ -281,6 +281,31 @@ def test_signatures_of_poor_sets():
                 assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("t", [50, 80, 90])
+def test_sketches_rule_out_no_link(monkeypatch, t):
+    """Each set that links with another one is left by its sketch, of whatever
+    sizes; few of those with nothing in common are."""
+    monkeypatch.setattr(ngram_join, "_WORDS", 64)
+    rng = np.random.default_rng(11)
+    sets = []
+    for size in (1, 5, 9, 33, 140, 141, 900):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for lost in range(0, (100 - t) * size // 100 + 1, max(1, size // 30)):
+            sets.append(np.unique(base[: size - lost]))
+            sets.append(np.unique(np.append(base[lost // 2 :], rng.integers(0, 2**63, lost // 2).astype(np.uint64))))
+    alone = [np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for size in (200, 210, 400, 800, 1000)]
+    sets = [sets[i] for i in rng.permutation(len(sets))] + alone
+    at = np.append(0, np.cumsum([len(x) for x in sets]))
+    raw = ngram_join.sketches(np.concatenate(sets), at, t)
+    near = ngram_join.has_near(np.arange(len(sets)), np.diff(at), raw, t)
+    for i, a in enumerate(sets):
+        linked_ = any(100 * len(np.intersect1d(a, b)) >= t * len(np.union1d(a, b)) for j, b in enumerate(sets) if j != i)
+        assert near[i] or not linked_
+    assert not near[-len(alone) :].any()
+    # rows of one node alone aren't near
+    assert not ngram_join.has_near(np.array([7, 7]), np.diff(at)[[0, 0]], [raw[0], raw[0]], t).any()
+
+
 def test_join_on_no_rows(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
