@@ -86,11 +86,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the index of its first
-    word (with the end)."""
+    word (with the end). Words are runs of bytes that `between` (of 256) hasn't."""
     n = len(data)
-    word = ~_SPACE[data]
+    word = ~between[data]
     edge = at[:-1][at[:-1] < n]
     before = np.empty(n, bool)
     before[1:] = word[:-1]
