@@ -41,16 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialise(df: DataFrame, tag: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the
-    lineage and survives lost executors. What release() hasn't deleted goes when
-    the driver ends."""
+def materialise(df: DataFrame, tag: str, spark: SparkSession | None = None, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, in folders of the column `by` if
+    given, and read it again: cuts the lineage and survives lost executors. What
+    release() hasn't deleted goes when the driver ends."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if not _tables:
         atexit.register(_clear)
     _tables[path] = spark
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     return out
