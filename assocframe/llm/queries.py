@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assocframe.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, substring_dedup, token_rollup, toxicity
+from assocframe.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, ranked_search, sharding, substring_dedup, token_rollup, toxicity
 from assocframe.runtime import materialise, shared_dir
 
 
@@ -105,6 +105,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -128,10 +132,11 @@ def queries() -> dict:
         "op8_token_rollup": op8_token_rollup,
         "op9_chat": op9_chat,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_ranked_search": op12_ranked_search,
         "op13_substring_dedup": op13_substring_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL, "op12_ranked_search": ranked_search.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}
