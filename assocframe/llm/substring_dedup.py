@@ -13,7 +13,7 @@ taken in both, at the same distance from their starts:
 1. Anchors are brought together by hash. Those that two documents share go back
    to the documents that have them.
 2. A shared anchor is extended to the windows that hold it, v at most. These are
-   brought together by a 128-bit hash; those that a smaller doc_id has too go back.
+   brought together by their hash; those that a smaller doc_id has too go back.
 3. Each document is cut by the windows that it got back.
 
 Nothing makes pairs of documents: a hash's rows are reduced to what decides. A
@@ -29,7 +29,7 @@ with equal or other texts, don't take from each other; each is cut by itself.
 Empty texts give empty texts. Very long texts are read whole, alone. An empty
 table gives an empty result. Only doc_id and text are read, so other columns don't
 clash; repeated rows give repeated rows. Anchors may collide without harm; words
-are compared by 64-bit and windows by 128-bit hashes.
+are compared by 64-bit hashes and windows by 80 bits beside those of their bucket.
 """
 
 from __future__ import annotations
@@ -53,8 +53,9 @@ PACKED = 1 << 14
 #: Buckets for each shuffle partition at least, so that they spread evenly.
 EACH = 4
 #: Parts into which rows of one doc_id are dealt by their texts.
-PARTS = 1024
+PARTS = 256
 
+_NAME, _HIGH = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1)
 _ASK, _TELL, _KNOWN = 0, 1, 2
 _PACKED_SCHEMA = "bucket long, flags binary, low binary, high binary, ids binary, parts binary"
 _FOUND = "doc_id long, part int, hash long"
@@ -131,24 +132,47 @@ def settled(low: np.ndarray, high: np.ndarray, ids: np.ndarray, parts: np.ndarra
     return tuple(x[new] for x in (flag.astype(np.uint8), low, high, ids, parts))
 
 
+def keys(low: np.ndarray, high: np.ndarray, wide: bool) -> np.ndarray:
+    """What a hash is called within its document: of anchors 32 bits, of windows
+    64, all of them among the bits that a bucket compares."""
+    name = low & _NAME
+    return (high & _HIGH) << np.uint64(16) | (name & np.uint64(0xFFFF)) if wide else name
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, their second ones, ...: what is alike compresses."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(value, kind) -> np.ndarray:
+    raw, size = np.frombuffer(value.as_buffer(), np.uint8), np.dtype(kind).itemsize
+    return raw.reshape(size, -1).T.copy().view(kind).ravel()
+
+
 def _pack(rows: tuple[np.ndarray, ...], buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Packed rows by bucket. What is known only passes through: it is dealt out
-    evenly, to buckets beyond the others."""
+    """Packed rows by bucket. A bucket compares 32 bits of anchors, which are there
+    to find candidates, and 80 of windows. What is known only passes through: it is
+    dealt out evenly, to buckets beyond the others, under its key."""
     flag, low, high, ids, parts = rows
     known = np.cumsum(flag == _KNOWN) // PACKED
     spread = mix(known.astype(np.uint64) + (low[:1] if len(low) else np.zeros(1, np.uint64))) % np.uint64(buckets)
-    bucket = np.where(flag == _KNOWN, spread.astype(np.int64) + buckets, (low >> np.uint64(20)).astype(np.int64) % buckets)
-    order = np.argsort(bucket, kind="stable")
+    bucket = np.where(flag == _KNOWN, spread.astype(np.int64) + buckets, ((low >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+    order = np.lexsort((ids, bucket))
     flag, low, high, ids, parts, bucket = (x[order] for x in (flag, low, high, ids, parts, bucket))
+    key, name, high = keys(low, high, wide), (low & _NAME).astype(np.uint32), high.view(np.uint8).reshape(len(high), 8)[:, :6]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(bucket))
     spans = [(a + k, min(a + k + PACKED, b)) for a, b in zip(cut.tolist(), ends.tolist(), strict=True) for k in range(0, b - a, PACKED)]
     for some in range(0, len(spans), 64):
-        now = spans[some : some + 64]
-        cols = [[x[a:b].tobytes() for a, b in now] for x in (flag, low)]
-        cols.append([high[a:b].tobytes() if wide else b"" for a, b in now])
-        cols += [[x[a:b].tobytes() for a, b in now] for x in (ids, parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in now]]), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "flags", "low", "high", "ids", "parts"])
+        now = [(a, b, bucket[a] >= buckets) for a, b in spans[some : some + 64]]
+        cols = [
+            [flag[a:b].tobytes() for a, b, _ in now],
+            [b"" if told else name[a:b].tobytes() for a, b, told in now],
+            [(key[a:b].tobytes() if wide else name[a:b].tobytes()) if told else high[a:b].tobytes() if wide else b"" for a, b, told in now],
+            [_planes(ids[a:b]) for a, b, _ in now],
+            [parts[a:b].tobytes() for a, b, _ in now],
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, *_ in now]]), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "flags", "low", "high", "ids", "parts"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch], hashed, buckets: int, smaller: bool) -> Iterator[pa.RecordBatch]:
@@ -158,8 +182,8 @@ def _asked(batches: Iterator[pa.RecordBatch], hashed, buckets: int, smaller: boo
     for batch in batches:
         for part in slices(batch, "text"):
             low, high, row = hashed(part)
-            ids = np.asarray(part.column("doc_id"))[row]
-            held.append((low, high, ids.astype(np.int64), np.asarray(part.column("part"))[row].astype(np.int16)))
+            ids = np.asarray(part.column("doc_id").fill_null(0))[row]
+            held.append((low, high, ids.astype(np.int64), np.asarray(part.column("part"))[row].astype(np.uint8)))
             count += len(low)
             if count >= FLUSH:
                 yield from _pack(settled(*map(np.concatenate, zip(*held, strict=True)), smaller), buckets, smaller)
@@ -174,10 +198,17 @@ def _answered(asked: DataFrame, buckets: int, partitions: int, smaller: bool) ->
 
     def of_bucket(t: pa.Table) -> pa.RecordBatch:
         read = lambda name, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in t.column(name)])
-        flag, low, high, ids, parts = read("flags", np.uint8), read("low", np.uint64), read("high", np.uint64), read("ids", np.int64), read("parts", np.int16)
-        yes = flag == _KNOWN
-        if not yes.all():
-            order, cut = _groups(low, high if len(high) else np.zeros_like(low), ids, parts)
+        flag, parts = read("flags", np.uint8), read("parts", np.uint8)
+        ids = np.concatenate([_from_planes(v, np.int64) for v in t.column("ids")])
+        if t.column("bucket")[0].as_py() >= buckets:
+            yes, key = np.ones(len(flag), bool), read("high", np.uint64 if smaller else np.uint32).astype(np.uint64)
+        else:
+            low, high, yes = read("low", np.uint32).astype(np.uint64), np.zeros((len(flag), 8), np.uint8), np.zeros(len(flag), bool)
+            if smaller:
+                high[:, :6] = read("high", np.uint8).reshape(-1, 6)
+            high = high.view(np.uint64).ravel()
+            key = keys(low, high, smaller)
+            order, cut = _groups(low, high, ids, parts)
             n = np.diff(cut)
             if smaller:
                 found = ids[order] > np.repeat(ids[order][cut[:-1]], n)
@@ -185,7 +216,7 @@ def _answered(asked: DataFrame, buckets: int, partitions: int, smaller: bool) ->
                 many = (ids[order][cut[1:] - 1] != ids[order][cut[:-1]]) | (np.add.reduceat((flag[order] == _TELL).astype(np.int64), cut[:-1]) > 0)
                 found = np.repeat(many, n) & (flag[order] == _ASK)
             yes[order[found]] = True
-        return pa.RecordBatch.from_arrays([pa.array(ids[yes]), pa.array(parts[yes].astype(np.int32)), pa.array(low[yes].view(np.int64))], names=["doc_id", "part", "hash"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[yes]), pa.array(parts[yes].astype(np.int32)), pa.array(key[yes].view(np.int64))], names=["doc_id", "part", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_runs(batches, "bucket"):
@@ -196,7 +227,8 @@ def _answered(asked: DataFrame, buckets: int, partitions: int, smaller: bool) ->
 
 
 def _sets(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id", "part").agg(F.collect_list("hash").alias("hashes"))
+    sets = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("key"), F.coalesce("part", F.lit(0)).alias("part")).agg(F.collect_list("hash").alias("hashes"))
+    return sets.withColumn("has_id", F.lit(True))
 
 
 def _members(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +249,10 @@ def dedup(docs: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
     space."""
     spark = docs.sparkSession
     v, cover = cover_of(window)
+    # keys without nulls: then both joins below read one shuffle of the texts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNotNull().alias("has_id"), F.coalesce(F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int"), F.lit(0)).alias("part"))
+    on = ["key", "has_id", "part"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # words of six letters and a space, at the cover's places
@@ -232,21 +266,24 @@ def dedup(docs: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
 
         return _asked(batches, hashed, buckets, smaller=False)
 
+    def whole(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        return run_hashes(w.hashes, window, 211), run_hashes(w.hashes, window, 307)
+
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashed(part):
             w = Words(part)
             low, at, row = w.anchors(window)
             shared, owner = _members(part)
-            hit = np.isin(_of_row(low, row), _of_row(shared, owner))
+            hit = np.isin(_of_row(keys(low, low, False), row), _of_row(shared, owner))
             reach = np.zeros(len(w.hashes) + 1, np.int64)  # windows that start up to v - 1 words before the anchor
             np.add.at(reach, np.maximum(at[hit] - v + 1, w.first[row[hit]]), 1)
             np.add.at(reach, at[hit] + 1, -1)
             start, row = starts_of(w.first, window)
             take = np.cumsum(reach)[start] > 0
             start, row = start[take], row[take]
-            return run_hashes(w.hashes, window, 211)[start], run_hashes(w.hashes, window, 307)[start], row
+            return *(h[start] for h in whole(w)), row
 
-        return _asked(batches, hashed, buckets, smaller=True)
+        return _asked((b.filter(b.column("hashes").is_valid()) for b in batches), hashed, buckets, smaller=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +293,8 @@ def dedup(docs: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
                 start, row = starts_of(w.first, window)
                 mark = np.zeros(len(w.hashes) + 1, np.int64)
                 if len(gone):
-                    hit = start[np.isin(_of_row(run_hashes(w.hashes, window, 211)[start], row), _of_row(gone, owner))]
+                    low, high = whole(w)
+                    hit = start[np.isin(_of_row(keys(low[start], high[start], True), row), _of_row(gone, owner))]
                     np.add.at(mark, hit, 1)
                     np.add.at(mark, hit + window, -1)
                 keep = np.cumsum(mark)[:-1] == 0
@@ -264,11 +302,12 @@ def dedup(docs: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
                 kept = np.append(0, np.cumsum(keep))[w.first]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - np.diff(kept)), _joined(w, keep, kept)], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    asked = rows.where(F.col("doc_id").isNotNull()).mapInArrow(anchors, _PACKED_SCHEMA)
+    asked = rows.where("has_id").mapInArrow(anchors, _PACKED_SCHEMA)
     shared = _sets(_answered(asked, buckets, partitions, smaller=False))
-    asked = rows.join(shared, ["doc_id", "part"]).select("doc_id", "part", "text", "hashes").mapInArrow(extended, _PACKED_SCHEMA)
+    # a left join, as the last one: rows without shared anchors make no windows
+    asked = rows.join(shared, on, "left").select("doc_id", "part", "text", "hashes").mapInArrow(extended, _PACKED_SCHEMA)
     gone = _sets(_answered(asked, buckets, partitions, smaller=True))
-    found = rows.join(gone, ["doc_id", "part"], "left").select("doc_id", "text", "hashes")
+    found = rows.join(gone, on, "left").select("doc_id", "part", "text", "hashes")
     return found.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
