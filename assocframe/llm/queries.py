@@ -5,9 +5,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from assocframe.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, ranked_search, sharding, substring_dedup, token_rollup, toxicity
+from assocframe.llm import bpe, chat, exact_dedup, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, ranked_search, sharding, substring_dedup, token_rollup, toxicity
 from assocframe.runtime import materialise, shared_dir
 
 
@@ -105,6 +105,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+#: Conversations of one family, which share their first one's first turns.
+FAMILY = 20
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Turns of turn_digests() such that conversation c begins with the first h turns
+    of the first one of its family, h = crc32(c) % 4, followed by its own after h. A
+    row without a digest stands for each conversation, which may have no turn."""
+    c = F.col("conv_id")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "digest")
+    own = turns.withColumn("n", F.row_number().over(order).cast("long")).withColumn("base", c - c % FAMILY).withColumn("h", F.crc32(c.cast("string").cast("binary")) % 4)
+    heads = own.where((F.col("base") == c) & (F.col("n") <= 3)).select("base", "n", "digest", "words")
+    convs = own.where("n = 1").select("conv_id", "base", "h")
+    columns = ["conv_id", F.col("n").alias("turn"), "digest", "words"]
+    begun = convs.where("h > 0").join(heads, "base").where("n <= h").select(*columns)
+    named = convs.select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("words"))
+    return own.where("n > h").select(*columns).unionByName(begun).unionByName(named)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = rebuilt(prefix_trie.turn_digests(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -132,6 +156,7 @@ def queries() -> dict:
         "op8_token_rollup": op8_token_rollup,
         "op9_chat": op9_chat,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_ranked_search": op12_ranked_search,
         "op13_substring_dedup": op13_substring_dedup,
         "pipeline": pipeline,
@@ -139,4 +164,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL, "op12_ranked_search": ranked_search.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op12_ranked_search": ranked_search.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}
