@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assocframe.functions import stats as st
-from assocframe.operators import dataset as ds, fold_evaluation as fe, profile as p, prs, ranking as rk, report as rp
+from assocframe.operators import allelic, dataset as ds, fold_evaluation as fe, ld, profile as p, prs, ranking as rk, report as rp
 from assocframe.plans.base import query, rounded
 from assocframe.plans.views import view
 from assocframe.runtime import materialise, positions
@@ -378,23 +378,55 @@ def plink_assoc(spark, d):
     return rounded(prs.association(dosages(spark, d), y).where("n > 5 and beta is not null").select("SNPID", "n", "beta", "case_alleles", "control_alleles"), 10)
 
 
+_FISHER = f"""WITH {_DOSE}, j AS (SELECT SNPID, dosage, PHENO - 1 AS y FROM dose JOIN samples USING (IID) WHERE PHENO > 0),
+ c AS (SELECT SNPID, CAST(coalesce(sum(dosage) FILTER (WHERE y = 1), 0) AS BIGINT) AS case_a1, CAST(coalesce(sum(2 - dosage) FILTER (WHERE y = 1), 0) AS BIGINT) AS case_a2, CAST(coalesce(sum(dosage) FILTER (WHERE y = 0), 0) AS BIGINT) AS control_a1, CAST(coalesce(sum(2 - dosage) FILTER (WHERE y = 0), 0) AS BIGINT) AS control_a2 FROM j GROUP BY SNPID),
+ x AS (SELECT SNPID, case_a1, case_a1 + case_a2 AS r, case_a1 + control_a1 AS k, case_a1 + case_a2 + control_a1 + control_a2 AS n, unnest(range(greatest(0, case_a1 - control_a2), least(case_a1 + case_a2, case_a1 + control_a1) + 1)) AS i FROM c),
+ f AS (SELECT list(s ORDER BY v) AS f FROM (SELECT v, sum(ln(greatest(v, 1))) OVER (ORDER BY v) AS s FROM range((SELECT max(n) + 1 FROM x)) g(v))),
+ q AS (SELECT SNPID, i = case_a1 AS own, f[r + 1] - f[i + 1] - f[r - i + 1] + f[n - r + 1] - f[k - i + 1] - f[n - r - k + i + 1] - f[n + 1] + f[k + 1] + f[n - k + 1] AS l FROM x, f),
+ t AS (SELECT SNPID, least(sum(exp(l)) FILTER (WHERE l <= o + 1e-7), 1.0) AS p FROM (SELECT SNPID, l, max(l) FILTER (WHERE own) OVER (PARTITION BY SNPID) AS o FROM q) GROUP BY SNPID)
+SELECT SNPID, case_a1, case_a2, control_a1, control_a2, round(case_a1 / nullif(case_a1 + case_a2, 0), 8) AS f_a, round(control_a1 / nullif(control_a1 + control_a2, 0), 8) AS f_u,
+ round(CAST(case_a1 AS DOUBLE) * control_a2 / nullif(case_a2 * control_a1, 0), 8) AS odds_ratio, CASE WHEN case_a1 + case_a2 > 0 AND control_a1 + control_a2 > 0 THEN round(p, 8) END AS p FROM c LEFT JOIN t USING (SNPID)"""
+
+
+@query("plink_assoc_fisher", _FISHER)
+def plink_assoc_fisher(spark, d):
+    """Fisher's exact test of the alleles of cases and controls."""
+    y = view(spark, d, "samples").where("PHENO > 0").select("IID", (F.col("PHENO") - 1).alias("y"))
+    return rounded(allelic.association(dosages(spark, d), y))
+
+
 @query("plink_extract", f"WITH {_DOSE} SELECT IID, count(*) AS kept FROM dose WHERE SNPID IN (SELECT SNPID FROM target WHERE MAF > 0.1) GROUP BY IID")
 def plink_extract(spark, d):
     return dosages(spark, d).join(view(spark, d, "target").where("MAF > 0.1"), "SNPID", "left_semi").groupBy("IID").agg(F.count(F.lit(1)).alias("kept"))
 
 
+_R2 = """pair AS (SELECT t.CHR, t.SNPID AS s1, u.SNPID AS s2, count(*) AS n, count(*) * sum(a.dosage * b.dosage) - sum(a.dosage) * sum(b.dosage) AS c, CAST(count(*) * sum(a.dosage * a.dosage) - sum(a.dosage) * sum(a.dosage) AS DOUBLE) * (count(*) * sum(b.dosage * b.dosage) - sum(b.dosage) * sum(b.dosage)) AS v
+ FROM target t JOIN target u ON t.CHR = u.CHR AND abs(t.POS - u.POS) <= 200000 AND (t.POS < u.POS OR (t.POS = u.POS AND t.SNPID < u.SNPID)) JOIN dose a ON a.SNPID = t.SNPID JOIN dose b ON b.SNPID = u.SNPID AND a.IID = b.IID GROUP BY t.CHR, t.SNPID, u.SNPID)"""
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "target").select("SNPID", "CHR", "POS")
+
+
 def _ld(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(prs.ld_pairs(dosages(spark, d), view(spark, d, "target").select("SNPID", "CHR", "POS"), 200_000), "ld")
+    """What clumping asks for: pairs within 200,000 bases of r2 0.1 and more."""
+    return ld.by_distance(dosages(spark, d), _places(spark, d), 200_000, 0.1)
+
+
+@query("plink_ld", f"WITH {_DOSE}, {_R2} SELECT CHR, s1, s2, n, round(CASE WHEN v > 0 THEN CAST(c AS DOUBLE) * c / v END, 8) AS r2 FROM pair")
+def plink_ld(spark, d):
+    return rounded(ld.by_distance(dosages(spark, d), _places(spark, d), 200_000))
 
 
 @query("plink_clump")
 def plink_clump(spark, d):
-    return prs.clump(view(spark, d, "target"), _ld(spark, d))
+    return ld.clump(view(spark, d, "target"), _ld(spark, d))
 
 
 @query("plink_prune")
 def plink_prune(spark, d):
-    return prs.prune(view(spark, d, "target").select("SNPID", "CHR", "POS"), _ld(spark, d))
+    """Windows of 200 variants by 50, r2 0.25."""
+    return ld.prune(dosages(spark, d), _places(spark, d))
 
 
 @query("prsice_clumped")
@@ -403,7 +435,7 @@ def prsice_clumped(spark, d):
     PRSice adds to its grid."""
     grid = spark.range(21).select(F.col("id").cast("int").alias("step"), F.when(F.col("id") == 20, 1.0).otherwise(F.lit(0.00001) + F.lit(0.05) * F.col("id")).alias("threshold"))
     t = view(spark, d, "target")
-    index = materialise(prs.clump(t, _ld(spark, d)).select("SNPID"), "index")
+    index = materialise(ld.clump(t, _ld(spark, d)).select("SNPID"), "index")
     found = prs.score(dosages(spark, d), t.join(index, "SNPID", "left_semi"), grid)
     return rounded(found.join(F.broadcast(grid), "threshold").select("IID", "step", "variants", "score"), 10)
 

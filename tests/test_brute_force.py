@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assocframe.operators import compat, ml, profile as p, prs, ranking as rk
+from assocframe.operators import compat, ld, ml, profile as p, ranking as rk
 from assocframe.plans.views import view
 from assocframe.runtime import ship
 
@@ -53,11 +53,13 @@ def test_linked_variants_and_pruning(spark):
     pos = {"a": 100, "b": 150_100, "c": 160_000, "far": 900_000}
     d = spark.createDataFrame([(str(i), s, int(v)) for s, x in dose.items() for i, v in enumerate(x)], "IID string, SNPID string, dosage int")
     places = spark.createDataFrame([(s, "1", q) for s, q in pos.items()], "SNPID string, CHR string, POS long")
-    ld = {(r.s1, r.s2): (r.n, r.r2) for r in prs.ld_pairs(d, places, 200_000).collect()}
-    assert set(ld) == {("a", "b"), ("a", "c"), ("b", "c")}
-    for (x, y), (n, r2) in ld.items():
+    found = {(r.s1, r.s2): (r.n, r.r2) for r in ld.by_distance(d, places, 200_000).collect()}
+    assert set(found) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (x, y), (n, r2) in found.items():
         assert n == 80 and r2 == pytest.approx(np.corrcoef(dose[x], dose[y])[0, 1] ** 2)
-    assert {r.SNPID for r in prs.prune(places, prs.ld_pairs(d, places, 200_000)).collect()} == {"a", "c", "far"}
+    # of a pair the one of the lower frequency goes; `far` is in the window too, as windows count variants
+    f = {s: min(x.mean() / 2, 1 - x.mean() / 2) for s, x in dose.items()}
+    assert {r.SNPID for r in ld.prune(d, places).collect()} == ({"c", "a"} if f["b"] <= f["a"] else {"c", "b"})
 
 
 def test_p_and_z_agree(spark):

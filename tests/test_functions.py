@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assocframe.functions import genomic as g, numeric as m, stats as s, text as t
 from assocframe.operators import harmonise as h, prs, ranking as rk, report as rp
+from assocframe.operators.ld import clump
 from assocframe.sources import sinks, sniff
 
 
@@ -91,7 +92,7 @@ def test_bands_and_lists(spark):
 def test_clump_keeps_the_best_of_linked(spark):
     stats = spark.createDataFrame([("1", "a", 0.01), ("1", "b", 0.02), ("1", "c", 0.5)], "CHR string, SNPID string, P double")
     ld = spark.createDataFrame([("1", "a", "b", 9, 0.9)], "CHR string, s1 string, s2 string, n long, r2 double")
-    assert {(r.SNPID, r.members) for r in prs.clump(stats, ld).collect()} == {("a", 1), ("c", 0)}
+    assert {(r.SNPID, r.members) for r in clump(stats, ld).collect()} == {("a", 1), ("c", 0)}
 
 
 def test_sources_and_sinks(spark, tmp_path):
