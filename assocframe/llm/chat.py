@@ -157,7 +157,10 @@ def unescape_role(x: Column) -> Column:
 def format_turns(chats: DataFrame, turns: str = "turns") -> DataFrame:
     """chats with `formatted` and `loss`, the spans of the assistants' texts."""
     parts = F.transform(F.col(turns), lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("text")))
-    out = chats.withColumn("_parts", parts)
+    held = "_parts"
+    while held in chats.columns:
+        held += "_"
+    out = chats.withColumn(held, parts)
 
     def next_span(s: Column, p: Column) -> Column:
         at = s["at"] + F.length(p["head"])
@@ -165,8 +168,8 @@ def format_turns(chats: DataFrame, turns: str = "turns") -> DataFrame:
         return F.struct((at + F.length(p["text"]) + len(END)).alias("at"), F.when(p["role"] == "assistant", F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    loss = F.aggregate(F.col("_parts"), zero, next_span, lambda s: s["spans"])
-    return out.withColumn("formatted", F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")).withColumn("loss", loss).drop("_parts")
+    loss = F.aggregate(F.col(held), zero, next_span, lambda s: s["spans"])
+    return out.withColumn("formatted", F.array_join(F.transform(held, lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")).withColumn("loss", loss).drop(held)
 
 
 def read_back(chats: DataFrame, formatted: str = "formatted", loss: str = "loss") -> DataFrame:

@@ -100,14 +100,14 @@ def _groups(scanned: DataFrame) -> DataFrame:
     return materialise(groups.where("group_size > 1"), "groups")
 
 
-def _judged(scanned: DataFrame, groups: DataFrame) -> DataFrame:
-    """scanned with keep_id, group_size and kept."""
+def _judged(scanned: DataFrame, groups: DataFrame, tie: Column | None = None) -> DataFrame:
+    """scanned with keep_id, group_size and kept. Of rows that are equal and share
+    the doc_id that stays, the first in the order of `tie` does."""
     joined = sized_join(scanned, groups, ["_print"], "left", ["doc_id"])
     alone = joined.where("group_size is null").withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long")).withColumn("kept", F.lit(True))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     others = joined.where(F.col("group_size").isNotNull() & ~stays).withColumn("kept", F.lit(False))
-    # of rows that are equal and share the doc_id that stays, one stays
-    first = F.row_number().over(Window.partitionBy("_print", "doc_id").orderBy(F.lit(0))) == 1
+    first = F.row_number().over(Window.partitionBy("_print", "doc_id").orderBy(F.lit(0) if tie is None else tie)) == 1
     return alone.unionByName(others).unionByName(joined.where(F.col("group_size").isNotNull() & stays).withColumn("kept", first))
 
 
@@ -133,7 +133,7 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     release(scanned)
     again = survivors(rows, found, "_text").drop("_text")
     if ties:
-        out = _judged(again, groups).where("kept")
+        out = _judged(again, groups, F.to_json("_row")).where("kept")
     else:
         out = sized_join(again, groups, ["_print"], "left", ["doc_id"]).where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return out.select("_row.*")

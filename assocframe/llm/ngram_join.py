@@ -243,7 +243,7 @@ def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
     return (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def name_of(bucket: np.ndarray | np.uint64, low: np.ndarray) -> np.ndarray:
+def name_of(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
     """What a group of one signature is called: from its bucket and its low bytes."""
     return mix(mix(bucket + np.uint64(1)) ^ low)
 
@@ -356,7 +356,7 @@ def _shared(signed: DataFrame) -> DataFrame:
         run = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
         count = np.diff(np.append(run, len(low)))
         by_name = np.repeat(np.isin(low[run], np.array(flagged, np.uint64)), count)
-        tell(name_of(np.uint64(bucket), low[by_name]).view(np.int64), node[by_name])
+        tell(name_of(np.array([bucket], np.uint64), low[by_name]).view(np.int64), node[by_name])
         first = np.repeat(node[run], count)
         pair = ~by_name & (first != node)
         both = np.unique(np.stack([first[pair], node[pair]]), axis=1) if pair.any() else np.zeros((2, 0), np.int64)

@@ -234,17 +234,19 @@ def judge(counted: DataFrame, found: DataFrame, cut: float = 0.999999) -> DataFr
     and `kept`: false where base_failed or where the distance is beyond the
     chi-squared quantile `cut`."""
     fields = [c for c in found.columns if c not in ("level", "grp", "start", "n", "logdet")]
-    out = _grouped(counted).withColumns(dict(zip(_D, statistics(), strict=True)))
+    # all of counted's columns in one, so that carried ones don't clash with what is made here
+    named = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = _grouped(counted.select(F.struct(*counted.columns).alias("_c"), *named)).withColumns(dict(zip(_D, statistics(), strict=True)))
     for k in (1, 2):
         side = found.where(F.col("level") == k).select(F.col("grp").alias(f"g{k}"), F.struct(*fields).alias(f"e{k}"))
         out = sized_join(out, materialise(side, f"level{k}"), [f"g{k}"], "left", ["doc_spread"], most=20_000)
     out = out.join(F.broadcast(found.where("level = 0").select(F.struct(*fields).alias("e0")).limit(1)), F.lit(True), "left")
-    out = out.withColumn("_e", F.coalesce("e2", "e1", "e0")).select(*counted.columns, *_D, "_e.*")
+    out = out.withColumn("_e", F.coalesce("e2", "e1", "e0")).select("_c", "base_failed", *_D, "_e.*")
     far = F.when(~F.col("base_failed") & F.col("m_0").isNotNull(), _distance([F.col(c) for c in _D]) / F.col("scale"))
     # one comparison, which needs both sides of the joins: as a conjunction, a filter on it would be split, and
     # its part on the counts moved below, where they would be made once more
     verdict = F.coalesce(F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(far), F.lit(0.0)) <= chi2_quantile(cut, len(_D))
-    return out.select(*counted.columns, far.alias("distance"), verdict.alias("kept"))
+    return out.select("_c", far.alias("_far"), verdict.alias("_kept")).select("_c.*", F.col("_far").alias("distance"), F.col("_kept").alias("kept"))
 
 
 def counted(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -121,9 +121,17 @@ def shard(docs: DataFrame, text: str = "text", shards: int = SHARDS, by: tuple[s
 
 def write(docs: DataFrame, path: str, text: str = "text", shards: int = SHARDS) -> None:
     """Write the documents of each shard, in the order of the curve, to a folder
-    of its own (shard=...), for pruning by shard and by the files' ranges. Rows
-    are matched by doc_id, size and checksum."""
+    of its own (shard=...), for pruning by shard and by the files' ranges. Rows have
+    docs' columns, the place on the curve (hilbert) and their slot; columns of docs
+    with these names or `shard` are replaced. Rows are matched by doc_id (null is a
+    value like others), size and checksum; those that agree in all three share the
+    first of their places, none is lost."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumn("size", (F.octet_length(t) + 1).cast("long")).withColumn("text_crc32", F.crc32(t.cast("binary")))
-    placed = shard(docs, text, shards).dropDuplicates(["doc_id", "size", "text_crc32"])
-    keyed.join(placed, ["doc_id", "size", "text_crc32"]).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    key = ["_null", "_id", "_size", "_crc"]
+    own = F.col("doc_id")
+    id_key = lambda: (own.isNull().alias("_null"), F.coalesce(own.cast("string"), F.lit("")).alias("_id"))
+    placed = shard(docs, text, shards).select(*id_key(), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.struct("shard", "slot", "hilbert").alias("_at"))
+    placed = placed.groupBy(*key).agg(F.min("_at").alias("_at"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot", "hilbert")]).alias("_row"), *id_key(), (F.octet_length(t) + 1).cast("long").alias("_size"), F.crc32(t.cast("binary")).alias("_crc"))
+    out = rows.join(placed, key).select("_row.*", "_at.*")
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
