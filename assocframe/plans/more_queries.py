@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assocframe.functions import numeric as m, text as t
-from assocframe.operators import harmonise as h, tests_of_significance as ts
+from assocframe.operators import heritability as hb, harmonise as h, tests_of_significance as ts
 from assocframe.plans.base import query, rounded
 from assocframe.plans.views import view
 from assocframe.sources import plink
@@ -40,6 +40,37 @@ def agg_ldsc(spark, d):
     return rounded(ts.ld_score_regression(v, ["job_index"]), 6)
 
 
+_LDSC_RUNS = 50
+
+
+def _ld_scores(spark, d):
+    return view(spark, d, "variants").where("Z is not null").select("job_index", "CHR", "POS", "row_id", (F.col("Z") * F.col("Z")).alias("chi2"), (1.0 + (F.col("POS") % 200).cast("double")).alias("ld"), "N")
+
+
+@query("agg_ldsc_jackknife", f"""WITH v AS (SELECT job_index, row_id, CHR, POS, Z * Z AS y, 1.0 + CAST(POS % 200 AS DOUBLE) AS l, N FROM variants WHERE Z IS NOT NULL),
+ p AS (SELECT job_index, count(*) AS variants, avg(y) AS mean_chi2, median(y) AS my, median(N) AS mn, greatest(0.0, least(1.0, (avg(y) - 1) * count(*) / avg(N * l))) AS h FROM v GROUP BY job_index),
+ r AS (SELECT job_index, y, N * l / variants AS x, 1.0 / (greatest(l, 1.0) * pow(1 + h * N * l / variants, 2)) AS w, (row_number() OVER (PARTITION BY job_index ORDER BY CASE CHR WHEN 'X' THEN 23 WHEN 'MT' THEN 25 ELSE CAST(CHR AS INT) END, POS, row_id) - 1) * {_LDSC_RUNS} // variants AS b FROM v JOIN p USING (job_index)),
+ s AS (SELECT job_index, b, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM r GROUP BY job_index, b),
+ o AS (SELECT a.job_index, a.b, sum(c.w) AS w, sum(c.x) AS x, sum(c.y) AS y, sum(c.xx) AS xx, sum(c.xy) AS xy FROM s a JOIN s c ON a.job_index = c.job_index AND a.b <> c.b GROUP BY ALL),
+ j AS (SELECT job_index, count(*) AS n, var_samp((w * xy - x * y) / (w * xx - x * x)) AS vh, var_samp((y - (w * xy - x * y) / (w * xx - x * x) * x) / w) AS vi FROM o GROUP BY job_index),
+ t AS (SELECT job_index, sum(w) AS w, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM s GROUP BY job_index),
+ f AS (SELECT *, (w * xy - x * y) / (w * xx - x * x) AS h2, (y - (w * xy - x * y) / (w * xx - x * x) * x) / w AS i FROM t JOIN j USING (job_index) JOIN p USING (job_index))
+ SELECT job_index, variants, round(h2, 6) + 0.0 AS h2, round((n - 1) * sqrt(vh / n), 6) AS h2_se, round(i, 6) AS intercept, round((n - 1) * sqrt(vi / n), 6) AS intercept_se, round((i - 1) / (mean_chi2 - 1), 6) + 0.0 AS ratio, round((n - 1) * sqrt(vi / n) / abs(mean_chi2 - 1), 6) AS ratio_se, round(mean_chi2, 6) AS mean_chi2, round(my / 0.454936423119572, 6) AS lambda_gc, round(mn * h2, 6) + 0.0 AS n_times_h2 FROM f""")
+def agg_ldsc_jackknife(spark, d):
+    return rounded(hb.ld_score_regression(_ld_scores(spark, d), ["job_index"], ["CHR", "POS", "row_id"], _LDSC_RUNS), 6)
+
+
+@query("agg_h2_liability")
+def agg_h2_liability(spark, d):
+    """h2 on the scale of liability: each file's share of cases, and the prevalence
+    among the samples."""
+    found = hb.ld_score_regression(_ld_scores(spark, d), ["job_index"], ["CHR", "POS", "row_id"], _LDSC_RUNS)
+    cases = view(spark, d, "variants").groupBy("job_index").agg((F.avg("N_CASES") / (F.avg("N_CASES") + F.avg("N_CONTROLS"))).alias("case_share"))
+    everyone = view(spark, d, "samples").agg((F.count_if(F.col("PHENO") == 2) / F.count_if(F.col("PHENO") > 0)).alias("prevalence"))
+    out = found.join(cases, "job_index").crossJoin(everyone)  # one row
+    return out.select("job_index", "h2", "case_share", "prevalence", hb.liability(F.col("h2"), F.col("case_share"), F.col("prevalence")).alias("liability_h2"), hb.liability(F.col("h2_se"), F.col("case_share"), F.col("prevalence")).alias("liability_h2_se"))
+
+
 _BLOCKS = [("1", 1, 20_000_000, "1", 1000), ("1", 20_000_000, 60_000_000, "1", -500), ("2", 1, 30_000_000, "3", 7)]
 
 
