@@ -155,14 +155,6 @@ def feature_screen(spark, d):
     return rounded(ds.screen(_f(spark, d), ["f_size", "f_rate", "f_const", "f_sparse"]))
 
 
-_NAMES = "n(feature) AS (VALUES ('feature9_clump_r2'), ('median_info'), ('plink_Test_auc'), ('f1_score'), ('n_spread'), ('Generalisation_Gap'))"
-
-
-@query("leakage_audit", f"WITH {_NAMES} SELECT feature, " + " OR ".join(f"contains(lower(feature), '{x}')" for x in ds.LEAKY) + " AS leaky, array_to_string(list_filter([" + ", ".join(f"'{x}'" for x in ds.LEAKY) + "], lambda x: contains(lower(feature), x)), ',') AS why FROM n")
-def leakage_audit(spark, d):
-    return ds.leakage(spark.createDataFrame([("feature9_clump_r2",), ("median_info",), ("plink_Test_auc",), ("f1_score",), ("n_spread",), ("Generalisation_Gap",)], "feature string"))
-
-
 @query("gap_quality", "SELECT job_index, fold, label, round(-abs(train - test), 8) + 0.0 AS gap_quality, round(test - abs(train - test), 8) AS stability, round(train + test, 8) AS \"both\" FROM folds")
 def gap_quality(spark, d):
     return rounded(ds.targets(view(spark, d, "folds")).select("job_index", "fold", "label", "gap_quality", "stability", "both"))
@@ -197,11 +189,6 @@ def agg_duplicate_columns(spark, d):
     return ds.duplicate_columns(_f(spark, d).select("job_index", "f_rate", "f_size", F.col("f_rate").alias("again")), "job_index")
 
 
-@query("agg_family_dtype", "WITH n(c) AS (VALUES ('f_size'), ('f_rate'), ('plink_auc'), ('target')) SELECT split_part(c, '_', 1) AS family, count(*) AS columns FROM n GROUP BY 1")
-def agg_family_dtype(spark, d):
-    return ds.families(spark.createDataFrame([("f_size",), ("f_rate",), ("plink_auc",), ("target",)], "column string"))
-
-
 # reports
 
 @query("agg_describe_categorical", "SELECT o_orderpriority AS value, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM orders), 8) AS pct FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -349,11 +336,6 @@ def dosages(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("o_custkey").cast("string").alias("IID"), F.concat(F.lit("rs"), F.col("l_partkey").cast("string")).alias("SNPID")).agg(F.min((F.col("l_linenumber") % 3).cast("int")).alias("dosage"))
 
 
-@query("logspace_thresholds", "SELECT CAST(i AS INT) AS step, round(log10(pow(10.0, -10 + 10 * i / 19.0)), 8) + 0.0 AS log_threshold FROM range(20) t(i)")
-def logspace_thresholds(spark, d):
-    return rounded(prs.thresholds(spark).select("step", F.log10("threshold").alias("log_threshold")))
-
-
 @query("plink_score", f"""WITH {_DOSE}, g AS (SELECT pow(10.0, -10 + 10 * i / 19.0) AS threshold, i FROM range(20) t(i)) SELECT IID, CAST(i AS INT) AS step, count(*) AS variants, round(sum(dosage * BETA) / (2 * count(*)), 10) + 0.0 AS score FROM dose JOIN target USING (SNPID) JOIN g ON P <= threshold GROUP BY IID, i""")
 def plink_score(spark, d):
     grid = prs.thresholds(spark)

@@ -152,9 +152,3 @@ def scan_sumstats_minimal(spark, d):
 @query("high_rate", "SELECT job_index, round(100.0 * count(*) FILTER (WHERE \"OR\" <= 0) / count(*), 8) AS bad_pct FROM variants GROUP BY job_index HAVING 100.0 * count(*) FILTER (WHERE \"OR\" <= 0) / count(*) >= 5")
 def high_rate(spark, d):
     return rounded(view(spark, d, "variants").groupBy("job_index").agg(m.rate(F.col("OR") <= 0).alias("bad_pct")).where("bad_pct >= 5"))
-
-
-@query("missing_tokens", "SELECT count(*) AS rows, 3 AS missing FROM (VALUES (' '), ('N/A'), ('x'), ('null')) t(v)")
-def missing_tokens(spark, d):
-    v = spark.createDataFrame([(" ",), ("N/A",), ("x",), ("null",)], "v string")
-    return v.agg(F.count(F.lit(1)).alias("rows"), F.count_if(t.is_missing(F.col("v"))).cast("int").alias("missing"))

@@ -27,44 +27,11 @@ def normalise_keys(spark, d):
     return h.variant_keys(_v(spark, d)).select("row_id", "job_index", "rsid", "chrpos", "pair", "palindromic")
 
 
-_CHR = [("chr1", "1"), ("CHR2", "2"), ("23", "X"), ("24", "Y"), ("25", "MT"), ("M", "MT"), (" 7 ", "7")]
-
-
-@query("normalise_chr", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CHR) + ") t(raw, chr)")
-def normalise_chr(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _CHR], "raw string").withColumn("chr", g.normal_chr(F.col("raw")))
-
-
-_POS = [("1,000", 1000), ("12.0", 12), ("-3", None), ("x", None), ("5", 5)]
-
-
-@query("normalise_pos", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({'NULL' if b is None else b} AS BIGINT))" for a, b in _POS) + ") t(raw, pos)")
-def normalise_pos(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _POS], "raw string").withColumn("pos", g.normal_pos(F.col("raw")))
-
-
-_ALLELES = [("A", "G", "A", "G", "direct_match"), ("A", "G", "G", "A", "flip_match"), ("A", "G", "T", "C", "strand_match"), ("A", "G", "C", "T", "strand_flip_match"), ("A", "T", "A", "T", "palindromic_ambiguous"), ("A", "G", "A", "C", "mismatch"), ("-", "G", "A", "G", "missing_allele")]
-
-
-@query("allele_match_status", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{e}', '{s}')" for a, b, c, e, s in _ALLELES) + ") t(ea, nea, a1, a2, status)")
-def allele_match_status(spark, d):
-    df = spark.createDataFrame([x[:4] for x in _ALLELES], "ea string, nea string, a1 string, a2 string")
-    return df.withColumn("status", g.match_status(*[g.normal_allele(F.col(c)) for c in ("ea", "nea", "a1", "a2")]))
-
-
 @query("complement_palindromic", "SELECT DISTINCT EA, NEA, translate(EA, 'ACGT', 'TGCA') AS complement, EA || '/' || NEA IN ('A/T', 'T/A', 'C/G', 'G/C') AS palindromic FROM variants")
 def complement_palindromic(spark, d):
     return _v(spark, d).select("EA", "NEA").distinct().select("EA", "NEA", g.complement(F.col("EA")).alias("complement"), g.is_palindromic(F.col("EA"), F.col("NEA")).alias("palindromic"))
 
 
-_BUILDS = [("GRCh37", "hg19"), ("hg38", "hg38"), ("build37", "hg19"), ("b38", "hg38"), ("other", "unknown")]
-
-
-@query("build_normalise", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _BUILDS) + ") t(raw, build)")
-def build_normalise(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _BUILDS], "raw string").withColumn("build", g.build_name(F.col("raw")))
-
-
 # text scalars
 
 @query("clean_text", "SELECT n_nationkey, trim(n_name) AS name FROM nation")
@@ -79,34 +46,11 @@ def is_missing(spark, d):
     return rounded(_v(spark, d).groupBy("job_index").agg(F.count_if(gone).alias("missing"), m.rate(gone).alias("missing_pct")))
 
 
-_HEADERS = [("Effect_Allele", "A1"), ("P-value", "P"), ("CHR", "CHR"), ("b", "BP"), ("markername", "SNP"), ("beta", "BETA"), ("odd one", "UNMAPPED"), ("Standard.Error", "SE"), ("[eaf]", "EAF")]
-
-
-@query("map_headers", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _HEADERS) + ") t(raw_header, standard)")
-def map_headers(spark, d):
-    return h.map_headers(spark.createDataFrame([(a,) for a, _ in _HEADERS], "raw_header string")).select("raw_header", "standard")
-
-
 @query("normalise_header", "SELECT c_custkey, replace(replace(lower(c_name), '#', '#'), ' ', '_') AS header FROM customer")
 def normalise_header(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", t.normal_header(F.concat(F.lit("["), "c_name", F.lit("]"))).alias("header"))
 
 
-_FILES = [(1, ("SNP", "CHR", "BP", "A1", "A2", "BETA", "SE", "P", "N")), (2, ("rsid", "effect_allele", "odds_ratio")), (3, ("chr", "position", "ea", "z", "pval"))]
-
-
-@query("coverage_flags", "SELECT * FROM (VALUES (1, 9, 9, 0, true, true, true), (2, 3, 3, 0, true, false, false), (3, 5, 5, 0, true, true, false)) t(file, columns, mapped, unmapped, has_effect, prs_minimum, ldsc_minimum)")
-def coverage_flags(spark, d):
-    rows = spark.createDataFrame([(i, c) for i, cols in _FILES for c in cols], "file int, raw_header string")
-    return h.coverage_flags(h.map_headers(rows), ["file"]).drop("signature")
-
-
-@query("agg_header_profile", "SELECT * FROM (VALUES (1, 9, 9, sha1('A1|A2|BETA|BP|CHR|N|P|SE|SNP')), (2, 3, 3, sha1('A1|OR|SNP')), (3, 5, 5, sha1('A1|BP|CHR|P|Z'))) t(file, columns, mapped, signature)")
-def agg_header_profile(spark, d):
-    rows = spark.createDataFrame([(i, c) for i, cols in _FILES for c in cols], "file int, raw_header string")
-    return h.coverage_flags(h.map_headers(rows), ["file"]).select("file", "columns", "mapped", "signature")
-
-
 @query("safe_name", "SELECT o_orderpriority AS raw, regexp_replace(o_orderpriority, '[^A-Za-z0-9_.-]+', '_', 'g') AS safe, count(*) AS n FROM orders GROUP BY ALL")
 def safe_name(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("raw"), t.safe_name(F.col("o_orderpriority")).alias("safe")).agg(F.count(F.lit(1)).alias("n"))
@@ -117,22 +61,6 @@ def normalise_url(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", t.normal_url(F.col("url")).alias("url"))
 
 
-_SIZES = [("12K", 12288), ("3.5M", 3670016), ("1G", 1073741824), ("77", 77), ("-", None)]
-
-
-@query("parse_size", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({'NULL' if b is None else b} AS BIGINT))" for a, b in _SIZES) + ") t(raw, bytes)")
-def parse_size(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _SIZES], "raw string").withColumn("bytes", t.parse_size(F.col("raw")))
-
-
-_SAMPLES = [("1,234 European ancestry cases, 5,000 European ancestry controls", 1234, 5000, 6234), ("up to 20,000 individuals", None, None, 20000), ("no numbers", None, None, None)]
-
-
-@query("extract_samples", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', " + ", ".join(f"CAST({'NULL' if x is None else x} AS BIGINT)" for x in r) + ")" for a, *r in _SAMPLES) + ") t(description, cases, controls, samples)")
-def extract_samples(spark, d):
-    return catalog.counted(spark.createDataFrame([(x[0],) for x in _SAMPLES], "description string"), "description")
-
-
 @query("word_boundary", "SELECT p_partkey, regexp_matches(lower(p_name), '\\bring\\b') AS hit FROM part")
 def word_boundary(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", t.has_phrase(F.col("p_name"), "Ring").alias("hit"))
@@ -148,37 +76,11 @@ def token_sort_ratio(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", t.token_sort_ratio(F.col("p_name"), "small ring").alias("ratio"))
 
 
-_LABELS = [("Pt_0.05", 0.05), ("Pt_1e-05", 0.00001), ("other", None)]
-
-
-@query("prsice_label_to_pvalue", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({'NULL' if b is None else b} AS DOUBLE))" for a, b in _LABELS) + ") t(label, pvalue)")
-def prsice_label_to_pvalue(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _LABELS], "label string").withColumn("pvalue", plink.threshold_of(F.col("label")))
-
-
-_NUMBERS = [("1,234", 1234.0), ("12%", 12.0), ("Yes", 1.0), ("false", 0.0), ("nan", None), ("1.0d", None), ("1e-3", 0.001), ("", None), ("inf", None)]
-
-
-@query("clean_numeric", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({'NULL' if b is None else b} AS DOUBLE))" for a, b in _NUMBERS) + ") t(raw, value)")
-def clean_numeric(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _NUMBERS], "raw string").withColumn("value", m.clean_number(F.col("raw")))
-
-
 @query("scalar_math", "SELECT row_id, round(abs(BETA), 8) AS a, CAST(sign(BETA) AS DOUBLE) + 0.0 AS s, round(exp(BETA), 8) AS e, round(CASE WHEN \"OR\" > 0 THEN ln(\"OR\") END, 8) + 0.0 AS l, round(CASE WHEN P > 0 THEN -log10(P) END, 8) AS p FROM variants")
 def scalar_math(spark, d):
     return rounded(_v(spark, d).select("row_id", F.abs("BETA").alias("a"), F.signum("BETA").alias("s"), F.exp("BETA").alias("e"), F.when(F.col("OR") > 0, F.log("OR")).alias("l"), m.neg_log10(F.col("P")).alias("p")))
 
 
-@query("normal_quantile")
-def normal_quantile(spark, d):
-    return spark.range(1, 1000).select((F.col("id") / 1000.0).alias("p")).select("p", st.normal_quantile(F.col("p")).alias("z"), st.chi2_quantile_1(F.col("p")).alias("chi2"))
-
-
-@query("erfc")
-def erfc(spark, d):
-    return spark.range(0, 600).select((F.col("id") / 100.0).alias("x")).select("x", st.erfc(F.col("x")).alias("erfc"))
-
-
 @query("safe_corr", """SELECT job_index, round(CASE WHEN count(Z) >= 3 THEN covar_samp(Z, b) / nullif(stddev_samp(Z) * stddev_samp(b), 0) END, 8) AS r FROM (SELECT job_index, Z, CASE WHEN Z IS NOT NULL THEN BETA END AS b FROM variants) GROUP BY job_index""")
 def safe_corr(spark, d):
     return rounded(_v(spark, d).groupBy("job_index").agg(m.pearson(F.col("Z"), F.col("BETA")).alias("r")))
@@ -189,16 +91,6 @@ def quantile(spark, d):
     return rounded(_v(spark, d).groupBy("job_index").agg(m.quantile(F.col("EAF"), 0.9).alias("q90"), m.median(F.col("EAF")).alias("q50")))
 
 
-@query("skew_kurtosis", "SELECT round(skewness(x), 8) AS skew, round(kurtosis(x), 8) AS kurtosis FROM (VALUES (1.0), (2.0), (3.0), (10.0)) t(x)")
-def skew_kurtosis(spark, d):
-    return rounded(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double").agg(m.skewness(F.col("x")).alias("skew"), m.kurtosis(F.col("x")).alias("kurtosis")))
-
-
-@query("header_hash", "SELECT sha1('snp|chr|bp') AS signature, sha256('snp') AS name")
-def header_hash(spark, d):
-    return spark.createDataFrame([(["snp", "chr", "bp"],)], "h array<string>").select(F.sha1(F.array_join("h", "|").cast("binary")).alias("signature"), F.sha2(F.get("h", F.lit(0)).cast("binary"), 256).alias("name"))
-
-
 # derived columns
 
 @query("derive_beta_or", """SELECT row_id, round(coalesce(b, CASE WHEN "OR" > 0 THEN ln("OR") END), 8) + 0.0 AS beta_final, CASE WHEN b IS NOT NULL THEN 'reported' WHEN "OR" > 0 THEN 'from_or' ELSE 'missing' END AS beta_source FROM (SELECT *, CASE WHEN POS % 3 = 0 THEN NULL ELSE BETA END AS b FROM variants)""")
@@ -236,15 +128,6 @@ def fill_sample_size(spark, d):
     return rounded(out.groupBy("job_index").agg(F.sum("n_final").alias("total")), 4)
 
 
-_IDS = [("chr1:1000:A:G", "1", 1000, "A", "G", None), ("rs12", None, None, None, None, "rs12"), ("X_55", "X", 55, None, None, None)]
-
-
-@query("parse_compound_id", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in _IDS) + ") t(id, id_chr, id_pos, id_nea, id_ea, id_rs)")
-def parse_compound_id(spark, d):
-    df = spark.createDataFrame([(r[0],) for r in _IDS], "id string")
-    return df.select("id", *[c.alias(k) for k, c in h.parse_compound(F.col("id")).items()])
-
-
 @query("standardise_sumstats", "SELECT row_id, CHR, POS AS pos, EA, NEA FROM variants")
 def standardise_sumstats(spark, d):
     raw = _v(spark, d).select(F.concat_ws(":", "CHR", "POS", "NEA", "EA").alias("MarkerName"), F.lower("EA").alias("effect_allele"), F.col("row_id").cast("string").alias("rid"))
@@ -353,19 +236,6 @@ def scan_reference_vcf(spark, d):
     return plink.vcf_places(lines)
 
 
-_LINES = [(1, 1, "# note"), (1, 2, "SNP\tCHR\tP"), (1, 3, "rs1\t1\t0.5"), (2, 1, "snp,chr,bp,p"), (2, 2, "rs1,1,5,0.1"), (3, 1, "1 2 3"), (3, 2, "4 5 6")]
-
-
-@query("detect_delimiter", "SELECT * FROM (VALUES (1, 'tab', 3), (2, 'comma', 4), (3, 'space', 3)) t(file, delimiter, fields)")
-def detect_delimiter(spark, d):
-    return sniff.delimiter(spark.createDataFrame(_LINES, "file int, n int, line string"), ["file"])
-
-
-@query("detect_header", "SELECT * FROM (VALUES (1, true, 2, 1), (2, true, 1, 0), (3, false, NULL, 0)) t(file, has_header, header_line, comments)")
-def detect_header(spark, d):
-    return sniff.header(spark.createDataFrame(_LINES, "file int, n int, line string"), ["file"], "n").drop("header")
-
-
 @query("detect_compression")
 def detect_compression(spark, d):
     return sniff.compression(spark, f"{d}/region.parquet").select("length", "extension", "magic", "compression", "mismatch")
