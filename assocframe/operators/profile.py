@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assocframe.functions import genomic as g, numeric as m, stats as s, text as t
+from assocframe.operators import order
 
 KEY = "job_index"
 #: Lengths of the autosomes in base pairs of hg19 (fixed values).
@@ -173,45 +174,43 @@ def effects() -> list[Column]:
 
 def chi_square(variants: DataFrame) -> DataFrame:
     """variants with chi2, from the first source that a file has at all: Z, then
-    BETA and SE, then P."""
-    w = Window.partitionBy(KEY)
+    BETA and SE, then P. What a file has is a row for each file."""
     made = F.when((F.col("SE") > 0), F.col("BETA") / F.col("SE"))
-    has_z, has_b = F.count("Z").over(w) > 0, F.count(made).over(w) > 0
+    has = variants.groupBy(F.col(KEY).alias("_file")).agg((F.count("Z") > 0).alias("_has_z"), (F.count(made) > 0).alias("_has_b"))
     p = F.when((F.col("P") > 0) & (F.col("P") <= 1), F.col("P"))
-    return variants.withColumn("chi2", F.when(has_z, F.col("Z") * F.col("Z")).when(has_b, made * made).otherwise(F.pow(s.z_from_p(p), F.lit(2.0))))
+    known = variants.join(has, F.col(KEY).eqNullSafe(F.col("_file")))
+    return known.withColumn("chi2", F.when(F.col("_has_z"), F.col("Z") * F.col("Z")).when(F.col("_has_b"), made * made).otherwise(F.pow(s.z_from_p(p), F.lit(2.0)))).drop("_file", "_has_z", "_has_b")
 
 
-def inflation() -> list[Column]:
+def inflation(variants: DataFrame) -> DataFrame:
+    """Per file the median and mean of chi2, and how often Z isn't BETA / SE."""
     made = F.col("BETA") / F.when(F.col("SE") > 0, F.col("SE"))
     off = F.abs(F.col("Z") - made) > 0.1
     share = m.rate(off, F.col("Z").isNotNull() & made.isNotNull())
-    return [
-        (m.median(F.col("chi2")) / CHI2_MEDIAN).alias("lambda_gc"),
-        F.avg("chi2").alias("mean_chi2"),
-        share.alias("z_inconsistent_pct"),
-        (share > 10).alias("z_inconsistent"),
-    ]
+    middle = order.quantiles(variants, [KEY], "chi2", {"_median": 0.5}).select(F.col(KEY).alias("_file"), "_median")
+    out = profile(variants, [F.avg("chi2").alias("mean_chi2"), share.alias("z_inconsistent_pct"), (share > 10).alias("z_inconsistent")])
+    return out.join(middle, F.col(KEY).eqNullSafe(F.col("_file")), "left").select(KEY, (F.col("_median") / CHI2_MEDIAN).alias("lambda_gc"), "mean_chi2", "z_inconsistent_pct", "z_inconsistent")
 
 
 def tail_inflation(variants: DataFrame, share: float = 0.01) -> DataFrame:
     """Median chi2 of the top share (one row at least) over the median of the law."""
-    w = Window.partitionBy(KEY)
-    ranked = variants.where("chi2 is not null").withColumn("r", F.row_number().over(w.orderBy(F.desc("chi2"), "row_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))).groupBy(KEY).agg((m.median(F.col("chi2")) / CHI2_MEDIAN).alias("lambda_tail"), F.count(F.lit(1)).alias("tail_rows"))
+    top = lambda n: F.greatest(F.lit(1), F.floor(n * share))
+    out = order.at_places(variants, [KEY], "chi2", {"_m": lambda n: n - top(n) + (top(n) - 1) / 2})
+    return out.select(KEY, (F.col("_m") / CHI2_MEDIAN).alias("lambda_tail"), top(F.col("total")).alias("tail_rows"))
 
 
 def quantile_tails(variants: DataFrame, p: str = "P") -> DataFrame:
     """Observed over expected -log10 P in the top 5 and 1 percent, for files of
     100 rows or more, and a label of the pattern."""
-    w = Window.partitionBy(KEY)
     ok = variants.where((F.col(p) > 0) & (F.col(p) <= 1))
-    ranked = ok.select(KEY, (-F.log10(p)).alias("seen"), F.row_number().over(w.orderBy(p, "row_id")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    ranked = ranked.where("n >= 100").withColumn("due", -F.log10((F.col("r") - 0.5) / F.col("n")))
-    aggs = []
-    for name, share in (("5", 0.05), ("1", 0.01)):
-        top = F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))
-        aggs.append((m.median(F.when(top, F.col("seen"))) / m.median(F.when(top, F.col("due")))).alias(f"tail_{name}"))
-    out = ranked.groupBy(KEY).agg(*aggs)
+    top = lambda n, share: F.greatest(F.lit(1), F.floor(n * share))
+    middle = lambda n, share: (top(n, share) - 1) / 2
+    shares = {"5": 0.05, "1": 0.01}
+    seen = order.at_places(ok, [KEY], p, {f"_seen_{k}": (lambda n, q=q: middle(n, q)) for k, q in shares.items()}, lambda v: -F.log10(v)).where("total >= 100")
+    n = F.col("total")
+    due = lambda k: -F.log10((k + 0.5) / n)  # noqa: E731  of the k-th row from 0
+    of = lambda q: (due(F.floor(middle(n, q))) + due(F.ceil(middle(n, q)))) / 2
+    out = seen.select(KEY, *[(F.col(f"_seen_{k}") / of(q)).alias(f"tail_{k}") for k, q in shares.items()])
     return out.withColumn("pattern", F.when(F.col("tail_5") > 1.2, "inflated").when(F.col("tail_1") > 1.2, "tail_enriched").when(F.col("tail_5") < 0.8, "deflated").otherwise("near_expected"))
 
 
@@ -247,7 +246,7 @@ def average_ranks(df: DataFrame, key: list[str], columns: list[str]) -> DataFram
 
 def spearman(df: DataFrame, key: list[str], x: str, y: str, name: str = "rho", least: int = 3) -> DataFrame:
     """Spearman's rho per key over complete pairs."""
-    ranked = average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, [x, y])
+    ranked = order.average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, [x, y])
     return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("pairs"), m.pearson(F.col(f"r_{x}"), F.col(f"r_{y}"), least).alias(name))
 
 

@@ -65,15 +65,6 @@ def regression_metrics(df: DataFrame, key: list[str], actual: str, predicted: st
     )
 
 
-def kendall(df: DataFrame, key: list[str], x: str, y: str, tie: str) -> DataFrame:
-    """Kendall's tau-b per key, by a self-join of the key's rows; keys are small
-    groups, such as a phenotype's files."""
-    a, b = df.select(*key, F.col(x).alias("x1"), F.col(y).alias("y1"), F.col(tie).alias("t1")), df.select(*key, F.col(x).alias("x2"), F.col(y).alias("y2"), F.col(tie).alias("t2"))
-    s = F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))
-    pairs = a.join(b, key).where("t1 < t2").groupBy(*key).agg(F.sum(s).alias("s"), F.count_if(F.col("x1") != F.col("x2")).alias("nx"), F.count_if(F.col("y1") != F.col("y2")).alias("ny"))
-    return pairs.select(*key, F.try_divide(F.col("s"), F.sqrt(F.col("nx").cast("double") * F.col("ny"))).alias("tau"))
-
-
 def bootstrap(df: DataFrame, key: list[str], value: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
     """Mean and its percentile interval by resampling each key's few values,
     with numpy's generator, so results repeat exactly."""

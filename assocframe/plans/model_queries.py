@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assocframe.functions import stats as st
-from assocframe.operators import allelic, dataset as ds, fold_evaluation as fe, ld, profile as p, prs, ranking as rk, report as rp
+from assocframe.operators import allelic, dataset as ds, fold_evaluation as fe, ld, order, profile as p, prs, ranking as rk, report as rp
 from assocframe.plans.base import query, rounded
 from assocframe.plans.views import view
 from assocframe.runtime import materialise, positions
@@ -94,7 +94,7 @@ def regression_metrics(spark, d):
 @query("kendall", """SELECT a.phenotype, round(CAST(sum(sign(a.target - b.target) * sign(a.f_rate - b.f_rate)) AS DOUBLE) / nullif(sqrt(CAST(count(*) FILTER (WHERE a.target <> b.target) AS DOUBLE) * count(*) FILTER (WHERE a.f_rate <> b.f_rate)), 0), 8) + 0.0 AS tau
  FROM features a JOIN features b ON a.phenotype = b.phenotype AND a.job_index < b.job_index GROUP BY a.phenotype""")
 def kendall(spark, d):
-    return rounded(rk.kendall(_f(spark, d), ["phenotype"], "target", "f_rate", "job_index"))
+    return rounded(order.kendall(_f(spark, d), ["phenotype"], "target", "f_rate").select("phenotype", "tau"))
 
 
 @query("bootstrap")

@@ -94,7 +94,7 @@ def agg_chromosome_signature(spark: SparkSession, d: str) -> DataFrame:
 @query("agg_lambda_gc", f"""SELECT job_index, round(median(Z * Z) / {p.CHI2_MEDIAN}, 8) AS lambda_gc, round(avg(Z * Z), 8) AS mean_chi2, {pct('abs(Z - BETA / SE) > 0.1', 'Z IS NOT NULL')} AS z_inconsistent_pct,
  {pct('abs(Z - BETA / SE) > 0.1', 'Z IS NOT NULL')} > 10 AS z_inconsistent FROM variants GROUP BY job_index""")
 def agg_lambda_gc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(p.profile(p.chi_square(_v(spark, d)), p.inflation()))
+    return rounded(p.inflation(p.chi_square(_v(spark, d))))
 
 
 @query("agg_tail_lambda", f"""WITH r AS (SELECT job_index, Z * Z AS chi2, row_number() OVER (PARTITION BY job_index ORDER BY Z * Z DESC, row_id) AS r, count(*) OVER (PARTITION BY job_index) AS n FROM variants WHERE Z IS NOT NULL)
