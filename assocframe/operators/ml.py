@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assocframe.operators import penalty, ranking as rk
 
@@ -58,6 +58,20 @@ def hold_one_out(df: DataFrame, features: list[str], label: str, group: str, kin
     return out
 
 
+def dump(model: PipelineModel, path: str, features: list[str], label: str, **told: str) -> None:
+    """Write a fitted pipeline, with its features, label and what else is told of it, to
+    a folder, in place of what is there."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(features, label, told)], "features array<string>, label string, told map<string, string>").coalesce(1).write.mode("overwrite").json(f"{path}/card")
+
+
+def load(path: str) -> tuple[PipelineModel, list[str], str, dict[str, str]]:
+    """(model, features, label, told) of a folder that dump() wrote."""
+    card = SparkSession.active().read.schema("features array<string>, label string, told map<string, string>").json(f"{path}/card").first()
+    return PipelineModel.load(f"{path}/model"), list(card.features), card.label, dict(card.told or {})
+
+
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     """Coefficients or tree importances by feature; 0 where screening dropped it."""
     kept = model.stages[2].selectedFeatures

@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame, functions as F
+
+from assocframe.runtime import positions
 
 #: kind: (alphas, shares of the absolute penalty)
 GRIDS: dict[str, tuple[np.ndarray, tuple[float, ...]]] = {
@@ -28,8 +32,10 @@ def moments(df: DataFrame, label: str, parts: int, rows: int) -> np.ndarray:
     """Per part the products of (1, features, label): parts of equal size in an
     order by hashes, so that they don't depend on the order of the rows."""
     z = F.concat(F.array(F.lit(1.0)), vector_to_array("scaled"), F.array(F.col(label).cast("double")))
-    nth = F.row_number().over(Window.orderBy(F.xxhash64("z"), "z")) - 1
-    cut = df.select(z.alias("z")).select("z", F.floor(nth * parts / rows).cast("int").alias("part"))
+    hashed = df.select(z.alias("z"), F.lit(0).alias("_g")).withColumn("_h", F.xxhash64("z"))
+    # cells by the hash's first bits, so that no task has all rows
+    nth = positions(hashed.withColumn("_c", F.shiftright("_h", 52)), ["_g"], ["_c"], ["_h", "z"])
+    cut = nth.select("z", F.floor((F.col("position") - 1) * parts / rows).cast("int").alias("part"))
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -116,10 +122,32 @@ class Search(Estimator):
         return Fitted(DenseVector(w[1:] / sd), float(w[0] - (w[1:] / sd) @ x), alpha, share)
 
 
-class Fitted(Model):
-    def __init__(self, coefficients: DenseVector, intercept: float, alpha: float, share: float):
+class Fitted(Model, DefaultParamsWritable, DefaultParamsReadable):
+    """A linear model; what it has are params, so that it can be saved and loaded."""
+
+    weights = Param(Params._dummy(), "weights", "coefficients by feature", TypeConverters.toListFloat)
+    constant = Param(Params._dummy(), "constant", "the intercept", TypeConverters.toFloat)
+    penalty = Param(Params._dummy(), "penalty", "the penalty and the share of its absolute part", TypeConverters.toListFloat)
+
+    def __init__(self, coefficients: DenseVector | None = None, intercept: float = 0.0, alpha: float = 0.0, share: float = 0.0):
         super().__init__()
-        self.coefficients, self.intercept, self.alpha, self.share = coefficients, intercept, alpha, share
+        self._set(weights=[] if coefficients is None else [float(c) for c in coefficients], constant=float(intercept), penalty=[float(alpha), float(share)])
+
+    @property
+    def coefficients(self) -> DenseVector:
+        return DenseVector(self.getOrDefault("weights"))
+
+    @property
+    def intercept(self) -> float:
+        return self.getOrDefault("constant")
+
+    @property
+    def alpha(self) -> float:
+        return self.getOrDefault("penalty")[0]
+
+    @property
+    def share(self) -> float:
+        return self.getOrDefault("penalty")[1]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         w = F.array(*[F.lit(float(c)) for c in self.coefficients])
