@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from assocframe.functions import numeric as m
+from assocframe.operators import order, tests_of_significance as ts
 from assocframe.operators.harmonise import first_by
 from assocframe.operators.profile import KEY
+from assocframe.runtime import materialise
 
 
 def minimal(variants: DataFrame) -> DataFrame:
@@ -18,13 +20,54 @@ def minimal(variants: DataFrame) -> DataFrame:
 
 def harmonised_pairs(variants: DataFrame, phenotypes: DataFrame) -> DataFrame:
     """Rows of pairs of files of one phenotype: the same alleles, or swapped ones
-    with the second effect turned. The same alleles win where both occur."""
+    with the second effect turned. The same alleles win where both occur.
+
+    Files meet by place and sorted alleles, each variant once: a file's one or two
+    rows of these (by which allele is the effect) are one row on the second side, and
+    the first side's row picks from it. So there is no row for each orientation, and
+    none to choose among after the join."""
     v = minimal(variants).join(phenotypes.select(KEY, "phenotype"), KEY)
-    a = v.select("phenotype", F.col(KEY).alias("file1"), "CHR", "POS", "EA", "NEA", F.col("BETA").alias("b1"), F.col("P").alias("p1"), F.col("EAF").alias("f1"))
-    side = lambda ea, nea, sign: v.select("phenotype", F.col(KEY).alias("file2"), "CHR", "POS", F.col(ea).alias("EA"), F.col(nea).alias("NEA"), (sign * F.col("BETA")).alias("b2"), F.col("P").alias("p2"), (F.col("EAF") if sign > 0 else 1 - F.col("EAF")).alias("f2"), F.lit(0 if sign > 0 else 1).alias("turned"))
-    b = side("EA", "NEA", 1).unionByName(side("NEA", "EA", -1))
-    found = a.join(b, ["phenotype", "CHR", "POS", "EA", "NEA"]).where("file1 < file2")
-    return first_by(found, ["phenotype", "file1", "file2", "CHR", "POS", "EA", "NEA"], "turned")
+    v = v.withColumn("x", F.least("EA", "NEA")).withColumn("y", F.greatest("EA", "NEA")).withColumn("first", F.col("EA") <= F.col("NEA"))
+    place = ["phenotype", "CHR", "POS", "x", "y"]
+    a = v.select(*place, F.col(KEY).alias("file1"), "EA", "NEA", "first", F.col("BETA").alias("b1"), F.col("P").alias("p1"), F.col("EAF").alias("f1"))
+    row = F.struct("BETA", "P", "EAF")
+    b = v.groupBy(*place, F.col(KEY).alias("file2")).agg(F.max(F.when(F.col("first"), row)).alias("as_first"), F.max(F.when(~F.col("first"), row)).alias("as_second"))
+    same, other = F.when(F.col("first"), F.col("as_first")).otherwise(F.col("as_second")), F.when(F.col("first"), F.col("as_second")).otherwise(F.col("as_first"))
+    found = a.join(b, place).where("file1 < file2").withColumn("_same", same).withColumn("_other", other)
+    turned = F.col("_same").isNull()
+    pick = lambda c, turn: F.when(turned, turn(F.col(f"_other.{c}"))).otherwise(F.col(f"_same.{c}"))
+    return found.select("phenotype", "file1", "file2", "CHR", "POS", "EA", "NEA", "b1", "p1", "f1", pick("BETA", lambda c: -c).alias("b2"), pick("P", lambda c: c).alias("p2"), pick("EAF", lambda c: 1 - c).alias("f2"), turned.cast("int").alias("turned"))
+
+
+#: Comparisons of two files, by the columns that are held against each other.
+COMPARISONS = {
+    "beta_vs_beta": ("b1", "b2"),
+    "p_vs_p": ("p1", "p2"),
+    "log10p_vs_log10p": ("l1", "l2"),
+    "beta1_vs_p2": ("b1", "p2"),
+    "p1_vs_beta2": ("p1", "b2"),
+    "beta1_vs_log10p2": ("b1", "l2"),
+    "log10p1_vs_beta2": ("l1", "b2"),
+}
+
+
+def correlations(pairs: DataFrame) -> DataFrame:
+    """Per pair of files the shared variants, those of the same and of swapped alleles,
+    and for each comparison Pearson's and Spearman's n, r and p: null under three rows
+    or where a side is constant. Ranks are exact and shared by the comparisons: those
+    of -log10 P are those of P turned round."""
+    key = ["phenotype", "file1", "file2"]
+    sides = ["b1", "b2", "p1", "p2"]
+    known = materialise(pairs.select(*key, "turned", *sides), "pairs")
+    whole = known.withColumn("l1", -F.log10("p1")).withColumn("l2", -F.log10("p2"))
+    of = lambda name, x, y: [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"{name}_n"), m.pearson(x, y).alias(f"{name}_r")]
+    plain = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("n_common_snps"), F.count_if(F.col("turned") == 0).alias("n_direct_allele_match"), F.count_if(F.col("turned") == 1).alias("n_flipped_allele_match"), *[c for k, (x, y) in COMPARISONS.items() for c in of(f"{k}_pearson", F.col(x), F.col(y))])
+    ranked = order.average_ranks(known.select(*key, *sides), key, sides)
+    rank = lambda c: -F.col(f"r_p{c[1]}") if c[0] == "l" else F.col(f"r_{c}")
+    by_rank = ranked.groupBy(*key).agg(*[c for k, (x, y) in COMPARISONS.items() for c in of(f"{k}_spearman", rank(x), rank(y))])
+    out = plain.join(by_rank, key)
+    names = [f"{k}_{how}" for k in COMPARISONS for how in ("pearson", "spearman")]
+    return out.select(*key, "n_common_snps", "n_direct_allele_match", "n_flipped_allele_match", *[c for n in names for c in (f"{n}_n", f"{n}_r", ts.correlation_p(F.col(f"{n}_r"), F.col(f"{n}_n")).alias(f"{n}_p"))])
 
 
 def pairwise(pairs: DataFrame) -> DataFrame:

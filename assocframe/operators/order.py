@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Cells of a group; a task sorts the distinct values of one.
 CELLS = 256
+#: Rows of a cell at least, as far as the bounds go.
+LEAST = 1 << 12
 #: Rows of a block of Kendall's counting, and blocks at most.
 ROWS, BLOCKS = 1 << 17, 256
 
@@ -26,9 +28,15 @@ def placed(df: DataFrame, key: list[str], value: str) -> DataFrame:
     rows, the number of rows with smaller values, and of all. Nulls are left out."""
     known = df.where(F.col(value).isNotNull()).select(*key, value)
     cuts = [i / CELLS for i in range(1, CELLS)]
-    bounds = known.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(20 * CELLS)).alias("_cuts"))
+    bounds = known.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(20 * CELLS)).alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    # small groups have fewer cells: every so-manieth bound
+    wide = F.greatest(F.lit(1), F.floor(CELLS * F.lit(LEAST) / F.col("_rows"))).cast("int")
+    bounds = bounds.select(*key, F.filter("_all", lambda _, i: (i + 1) % wide == 0).alias("_cuts"))
     counted = known.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
-    rows = _join(counted, bounds, key).withColumn("_cell", F.size(F.filter("_cuts", lambda b: b < F.col(value)))).drop("_cuts")
+    steps = F.array(*[F.lit(1 << i) for i in range((CELLS - 1).bit_length() - 1, -1, -1)])
+    # how many bounds are below the value, by halves
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_cuts", at + step - 1) < F.col(value), step).otherwise(0))
+    rows = _join(counted, bounds, key).withColumn("_cell", below).drop("_cuts")
     run = Window.partitionBy(*key).orderBy("_cell")  # CELLS rows at most
     cells = rows.groupBy(*key, "_cell").agg(F.sum("n").alias("_m"))
     cells = cells.select(*key, "_cell", (F.sum("_m").over(run) - F.col("_m")).alias("_first"), F.sum("_m").over(Window.partitionBy(*key)).alias("total"))
@@ -64,8 +72,9 @@ def quantiles(df: DataFrame, key: list[str], value: str, shares: dict[str, float
 def average_ranks(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """df with r_<column>: ranks from 1 within the key, ties averaged; null for nulls.
     Rows of one value meet in a join, which is split where they are many."""
+    given = df
     for c in columns:
-        ranks = placed(df, key, c).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(c).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r_{c}"))
+        ranks = placed(given, key, c).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(c).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r_{c}"))
         same = [F.col(c) == F.col("_v"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]]
         df = df.join(ranks, same, "left").drop("_v", *[f"_k{i}" for i in range(len(key))])
     return df

@@ -198,6 +198,24 @@ def join_pairwise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cc.pairwise(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs"))))
 
 
+_RANKS = ", ".join(f"rank() OVER (PARTITION BY file1, file2 ORDER BY {c}) + (count(*) OVER (PARTITION BY file1, file2, {c}) - 1) / 2.0 AS r_{c}" for c in ("b1", "b2", "p1", "p2"))
+_SIDE = lambda c, how: c if how == "pearson" else f"-r_p{c[1]}" if c[0] == "l" else f"r_{c}"
+_COMPARED = ", ".join(f"count(*) AS {k}_{how}_n, {_CORR.format(_SIDE(x, how), _SIDE(y, how))} AS {k}_{how}_r" for k, (x, y) in cc.COMPARISONS.items() for how in ("pearson", "spearman"))
+
+
+@query("join_pairwise_full", f"WITH {_PAIRS}, z AS (SELECT *, {_RANKS} FROM q) SELECT phenotype, file1, file2, count(*) AS n_common_snps, count(*) FILTER (WHERE turned = 0) AS n_direct_allele_match, count(*) FILTER (WHERE turned = 1) AS n_flipped_allele_match, {_COMPARED} FROM z GROUP BY phenotype, file1, file2")
+def join_pairwise_full(spark: SparkSession, d: str) -> DataFrame:
+    """All seven comparisons by both methods; p has no SQL (join_pairwise_p)."""
+    found = cc.correlations(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs")))
+    return rounded(found.drop(*[c for c in found.columns if c.endswith("_p")]))
+
+
+@query("join_pairwise_p")
+def join_pairwise_p(spark: SparkSession, d: str) -> DataFrame:
+    found = cc.correlations(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs")))
+    return found.select("phenotype", "file1", "file2", *[c for c in found.columns if c.endswith("_p")])
+
+
 _PAIRWISE = f"WITH {_PAIRS}, w AS (SELECT phenotype, file1, file2, count(*) AS shared, {_CORR.format('b1', 'b2')} AS beta_r, {_CORR.format('f1', 'f2')} AS eaf_r FROM q GROUP BY phenotype, file1, file2)"
 
 

@@ -23,9 +23,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, x double, y double").repartition(5)
 
 
-@pytest.mark.parametrize("cells", [2, 256])
-def test_quantiles_and_ranks(spark, monkeypatch, cells):
+@pytest.mark.parametrize("cells, least", [(2, 1), (256, 1), (256, 1 << 12), (16, 40)])
+def test_quantiles_and_ranks(spark, monkeypatch, cells, least):
     monkeypatch.setattr(order, "CELLS", cells)
+    monkeypatch.setattr(order, "LEAST", least)
     rows = rows_of(random.Random(cells), 400)
     df = frame(spark, rows)
     shares = {"lo": 0.0, "q1": 0.05, "m": 0.5, "hi": 1.0}
