@@ -22,9 +22,9 @@ def is_missing(c: Column, tokens: tuple[str, ...] = MISSING) -> Column:
 
 def normal_header(c: Column) -> Column:
     """Lower case, without byte-order mark and brackets; separators become one
-    underscore."""
+    underscore, none at the ends."""
     t = F.regexp_replace(F.lower(F.trim(c)), "[﻿\\[\\]]", "")
-    return F.regexp_replace(F.regexp_replace(t, r"[/:\-. ]", "_"), "_+", "_")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[/:\-.\s]", "_"), "_+", "_"), F.lit("_"))
 
 
 def safe_name(c: Column) -> Column:

@@ -10,24 +10,29 @@ from assocframe.functions import genomic as g, numeric as m, stats as s, text as
 #: Header synonyms of the canonical columns; on shared ones the first counts
 #: (fixed values).
 SYNONYMS: dict[str, tuple[str, ...]] = {
-    "CHR": ("chr", "chrom", "chromosome", "hg19chr", "hm_chrom"),
-    "SNP": ("snp", "snpid", "rsid", "rs_id", "rs", "variant_id", "markername", "id", "name"),
-    "BP": ("bp", "b", "pos", "position", "base_pair_location", "genpos", "markername"),
-    "A1": ("a1", "allele1", "effect_allele", "ea", "coded_allele", "tested_allele", "ref"),
-    "A2": ("a2", "allele2", "other_allele", "non_effect_allele", "nea", "oa", "alt"),
-    "N": ("n", "n_total", "total_sample_size", "sample_size", "weight", "n_effective"),
-    "N_CASES": ("ncase", "n_case", "n_cases", "num_cases"),
-    "N_CONTROLS": ("ncontrol", "n_control", "n_controls", "num_controls"),
-    "P": ("p", "pval", "p_value", "pvalue", "p_val", "neg_log_10_p_value"),
-    "INFO": ("info", "info_score", "imputation_quality", "imp_rsqr"),
-    "EAF": ("eaf", "frq", "freq", "frequency", "effect_allele_frequency", "a1freq", "af"),
-    "MAF": ("maf", "minorallelefrequency", "minorallelefreq", "global_maf"),
-    "BETA": ("beta", "b", "effect", "effect_size", "estimate"),
-    "SE": ("se", "stderr", "standard_error", "sebeta", "se_beta"),
-    "OR": ("or", "odds_ratio", "oddsratio"),
-    "Z": ("z", "zscore", "z_score", "z_stat"),
+    "CHR": ("chr", "chrom", "chromosome", "chromo", "chro", "ch", "#chrom", "chr_pos", "chr_position", "chromosome_name", "chromosome_id", "hg19chr"),
+    "SNP": ("snp", "markername", "marker", "rs", "rsid", "snpid", "snp_id", "snpname", "rs_number", "rs_id", "rsnumber", "variant_id", "variantid", "var_id", "marker_id", "markerid", "locus_id", "vcf_ids", "id", "name", "var_name"),
+    "BP": ("bp", "b", "pos", "position", "phys_pos", "bpos", "genpos", "base_pair_location", "base_pair_position", "base_pair", "snp_pos", "markername"),
+    "A1": ("a1", "a_1", "allele1", "allele_1", "allelea", "effect_allele", "effectallele", "eff_allele", "ea", "e", "coded_allele", "tested_allele", "inc_allele", "minor_allele", "minorallele", "ref", "reference_allele", "ref_allele", "allele0", "a0"),
+    "A2": ("a2", "a_2", "allele2", "allele_2", "alleleb", "other_allele", "otherallele", "other", "non_effect_allele", "noneffect_allele", "noncoded_allele", "dec_allele", "nea", "oa", "alt", "alt_allele", "alternate_allele", "alternative_allele", "majorallele"),
+    "N": ("n", "n_total", "ntotal", "total_n", "total_sample_size", "totalsamplesize", "sample_size", "samplesize", "n_samples", "nsample", "n_obs", "weight", "n_effective", "effective_n", "effective_sample_size"),
+    "N_CASES": ("ncase", "n_case", "n_cases", "cases_n", "cases_total", "n_cas", "num_cases", "sample_size_cases"),
+    "N_CONTROLS": ("ncontrol", "n_control", "n_controls", "controls_n", "controls_total", "n_con", "num_controls"),
+    "P": ("p", "pval", "p_value", "pvalue", "p_val", "hetpval", "score_pval", "p_score", "p_bolt_lmm", "frequentist_add_pvalue", "robust_pval", "neg_log_10_p_value", "mtag_pval"),
+    "INFO": ("info", "info_score", "imputation", "imputation_quality", "imputationinfo", "impute_info", "imp_quality", "imp_rsqr", "median_info", "n_informative"),
+    "EAF": ("eaf", "frq", "frq1", "freq", "freq1", "frequency", "effect_allele_frequency", "effectallelefreq", "effect_allele_freq", "effect_af", "eff_allele_freq", "coded_allele_freq", "a1freq", "a1_freq", "freq_a1", "af", "af1", "allelefreq", "ref_allele_frequency"),
+    "MAF": ("maf", "minorallelefrequency", "minorallelefreq", "expected_minor_allele_freq"),
+    "BETA": ("beta", "b", "effect", "effects", "effect1", "effect_size", "effectsize", "estimate", "maineffects", "frequentist_add_beta_1", "betazscale"),
+    "SE": ("se", "stderr", "standard_error", "standarderror", "standard_error_of_beta", "sebeta", "se_beta", "beta_se", "serror", "stderrlogor", "logor_se", "or_se", "se1", "mtag_se", "robust_se", "odds_ratio_se", "frequentist_add_se_1"),
+    "OR": ("or", "odds_ratio", "oddsratio", "oddsratiominorallele", "odds", "log_odds", "log_or", "logor"),
+    "Z": ("z", "z_value", "zscore", "z_score", "z_stat", "zval", "mtag_z", "weighted_z"),
+    "DIRECTION": ("direction", "direct", "dir", "effect_direction", "direction_effects_cohorts", "mantra_dir", "cohort_dir"),
 }
 
+#: What a header may have at its ends beside its column's name: cohorts, sexes,
+#: programs, builds, models and numbers. A header that isn't known is looked up without.
+QUALIFIER = "all|females?|males?|cases?|controls?|eur|eas|afr|amr|sas|global|ancestry|european|multiancestry|association|ukbb?|hapmap|1000g|hm|plink|saige|gc|meta|metal|new|build3[678]|b3[678]|grch3[78]|hg1[89]|hg38|fixed|random|fix|rand|fe|re|ff|het|residual|level|study|variant|site[0-9]+|[0-9]+"
+
 
 def synonyms(spark: SparkSession, table: dict[str, tuple[str, ...]] = SYNONYMS) -> DataFrame:
     """(normal_header, standard), one row per header: the first standard column
@@ -39,10 +44,21 @@ def synonyms(spark: SparkSession, table: dict[str, tuple[str, ...]] = SYNONYMS)
     return spark.createDataFrame(sorted(seen.items()), "normal_header string, standard string")
 
 
-def map_headers(headers: DataFrame, header: str = "raw_header", table: dict[str, tuple[str, ...]] = SYNONYMS) -> DataFrame:
-    """headers with normal_header, standard (or UNMAPPED) and identified."""
-    known = synonyms(headers.sparkSession, table)
-    out = headers.withColumn("normal_header", t.normal_header(F.col(header))).join(F.broadcast(known), "normal_header", "left")
+def map_headers(headers: DataFrame, header: str = "raw_header", table: dict[str, tuple[str, ...]] = SYNONYMS, qualifier: str | None = QUALIFIER) -> DataFrame:
+    """headers with normal_header, standard (or UNMAPPED) and identified. What `table`
+    doesn't list is looked up once more without qualifiers at its end, at its start and
+    at both (the name of one standard column is kept from another: cases and controls
+    are never N). `table` may be any other; without `qualifier` only it counts."""
+    known = F.broadcast(synonyms(headers.sparkSession, table))  # the table's rows
+    out = headers.withColumn("normal_header", t.normal_header(F.col(header)))
+    full = F.col("normal_header")
+    tail, head = (lambda c: F.regexp_replace(c, f"(_({qualifier}))+$", "")), (lambda c: F.regexp_replace(c, f"^(({qualifier})_)+", ""))
+    ways = [full] if qualifier is None else [full, tail(full), head(full), head(tail(full))]
+    for i, way in enumerate(ways):
+        one = known.select(F.col("normal_header").alias(f"_n{i}"), F.col("standard").alias(f"_s{i}"))
+        out = out.join(one, way == F.col(f"_n{i}"), "left")
+    found = [F.col(f"_s{i}") if not i else F.when(~(F.col(f"_s{i}").isin("N") & full.rlike("case|control")), F.col(f"_s{i}")) for i in range(len(ways))]
+    out = out.withColumn("standard", F.coalesce(*found)).drop(*[f"_{k}{i}" for k in "ns" for i in range(len(ways))])
     return out.withColumn("identified", F.col("standard").isNotNull()).withColumn("standard", F.coalesce("standard", F.lit("UNMAPPED")))
 
 

@@ -65,3 +65,12 @@ def test_leaks_and_families(spark):
     df = spark.createDataFrame([("feature9_clump_r2",), ("median_info",), ("plink_Test_auc",), ("f1_score",), ("n_spread",), ("Generalisation_Gap",)], "feature string")
     assert {r.feature for r in ds.leakage(df).where("leaky").collect()} == {"feature9_clump_r2", "plink_Test_auc", "f1_score", "Generalisation_Gap"}
     assert {tuple(r) for r in ds.families(df, "feature").collect()} == {("feature9", 1), ("median", 1), ("plink", 1), ("f1", 1), ("n", 1), ("Generalisation", 1)}
+
+
+def test_qualified_headers(spark):
+    pairs = [("pvalue_plink", "P"), ("ff.random.pval", "P"), ("__odds_ratio__", "OR"), ("SE_saige", "SE"), ("standard_error_site2", "SE"), ("EFFECT_ALLELE_FREQUENCY_CASES", "EAF"), ("Direction", "DIRECTION"), ("chr:position", "CHR"), ("MarkerName", "SNP"), ("MAF_hapmap", "MAF"), ("stderr females", "SE"), ("base_pair_location_grch38", "BP"), ("n_total_cases", "UNMAPPED"), ("n_samples_study_level", "N"), ("made up", "UNMAPPED"), ("all", "UNMAPPED")]
+    rows = spark.createDataFrame([(a,) for a, _ in pairs], "raw_header string")
+    assert {(r.raw_header, r.standard) for r in h.map_headers(rows).collect()} == set(pairs)
+    assert {r.raw_header for r in h.map_headers(rows, qualifier=None).where("identified").collect()} == {"__odds_ratio__", "Direction", "chr:position", "MarkerName"}
+    own = h.map_headers(rows, table={"X": ("made_up",)})
+    assert {(r.raw_header, r.standard) for r in own.where("identified").collect()} == {("made up", "X")}
