@@ -91,3 +91,33 @@ def duplicate_columns(df: DataFrame, key: str) -> DataFrame:
 def families(names: DataFrame, column: str = "column") -> DataFrame:
     """Counts of columns by the part of their name before the first underscore."""
     return names.groupBy(F.substring_index(column, "_", 1).alias("family")).agg(F.count(F.lit(1)).alias("columns"))
+
+
+def in_every(rows: DataFrame, key: list[str], part: str) -> DataFrame:
+    """Keys that every value of `part` has: the intersection of the parts' keys, by
+    counts rather than by a join for each part."""
+    parts = rows.agg(F.count_distinct(part).alias("_parts"))  # one row
+    seen = rows.groupBy(*key).agg(F.count_distinct(part).alias("_seen"))
+    return seen.join(F.broadcast(parts), F.col("_seen") == F.col("_parts")).select(*key)
+
+
+def weights(rows: DataFrame, feature: str, weight: str) -> DataFrame:
+    """Per feature of fitted weights: number, mean, mean size, deviation, and the
+    share of the commoner sign."""
+    w = F.col(weight)
+    same = 100.0 * F.greatest(F.count_if(w > 0), F.count_if(w < 0)) / F.count(w)
+    return rows.groupBy(feature).agg(F.count(w).alias("n"), F.avg(w).alias("mean"), F.avg(F.abs(w)).alias("mean_abs"), F.stddev_samp(w).alias("sd"), same.alias("same_sign_pct"))
+
+
+def completeness(rows: DataFrame, key: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """(key, column_name, known, complete_pct) for each column; one that rows don't have
+    is empty."""
+    have = [F.count(c) if c in rows.columns else F.lit(0).cast("long") for c in columns]
+    wide = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), *[k.alias(f"_{c}") for c, k in zip(columns, have, strict=True)])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_{c}").alias("known")) for c in columns]))
+    return wide.select(*key, "_rows", pairs.alias("_p")).select(*key, "_p.column_name", "_p.known", (100.0 * F.col("_p.known") / F.col("_rows")).alias("complete_pct"))
+
+
+def head(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key; tasks keep n of each before they shuffle."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")

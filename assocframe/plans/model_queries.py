@@ -422,7 +422,7 @@ def prsice_clumped(spark, d):
     return rounded(found.join(F.broadcast(grid), "threshold").select("IID", "step", "variants", "score"), 10)
 
 
-@query("clump_fallback")
+@query("clump_fallback", "SELECT SNPID FROM target WHERE MAF > 0.1 INTERSECT SELECT SNPID FROM target WHERE P < 0.5")
 def clump_fallback(spark, d):
     t = view(spark, d, "target")
     return prs.or_fallback(t.where("P < 0").select("SNPID"), t.where("MAF > 0.1"), t.where("P < 0.5"))

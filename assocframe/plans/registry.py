@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assocframe.plans import base, file_queries, join_queries, model_queries, more_queries, profile_queries, raw_queries, scalar_queries  # noqa: F401  each module registers its queries
+from assocframe.plans import base, file_queries, join_queries, model_queries, more_queries, profile_queries, raw_queries, scalar_queries, score_queries  # noqa: F401  each module registers its queries
 
 
 def queries() -> dict:
