@@ -4,8 +4,8 @@ Fits run on Spark's own learners; the loop is over groups of files, of which
 there are a few. A fold's imputation, screening and scaling see its training
 rows alone. Linear models search their penalty (assocframe.operators.penalty)
 unless they are given one; forests have 500 trees and boosting 300 rounds.
-Learners that Spark lacks are left out: extremely randomised trees and histogram
-boosting are replaced by random forests and gradient boosting."""
+Extremely randomised trees and histogram boosting, which Spark lacks, are in
+assocframe.operators.trees."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VarianceThresholdSelecto
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from assocframe.operators import penalty, ranking as rk
+from assocframe.operators import penalty, ranking as rk, trees
 
 
 def learner(kind: str, label: str, **options):
@@ -27,6 +27,10 @@ def learner(kind: str, label: str, **options):
         return RandomForestRegressor(featuresCol="scaled", labelCol=label, numTrees=options.get("trees", 500), minInstancesPerNode=2, maxDepth=30, featureSubsetStrategy="all", seed=42)
     if kind == "boosting":
         return GBTRegressor(featuresCol="scaled", labelCol=label, maxIter=options.get("trees", 300), stepSize=0.03, maxDepth=2, seed=42)
+    if kind == "extra_trees":
+        return trees.ExtraTrees(label, options.get("trees", 500))
+    if kind == "hist_boosting":
+        return trees.HistBoosting(label, options.get("trees", 300))
     raise ValueError(f"unknown learner {kind}")
 
 

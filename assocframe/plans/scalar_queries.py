@@ -284,6 +284,16 @@ def lopo_boosting(spark, d):
     return _lopo(spark, d, "boosting")
 
 
+@query("lopo_extra_trees")
+def lopo_extra_trees(spark, d):
+    return _lopo(spark, d, "extra_trees")
+
+
+@query("lopo_hist_boosting")
+def lopo_hist_boosting(spark, d):
+    return _lopo(spark, d, "hist_boosting")
+
+
 @query("native_importance")
 def native_importance(spark, d):
     names = ["f_size", "f_rate", "f_const"]
