@@ -237,20 +237,22 @@ def _grown(blocks: RDD, since: Trees, leaves: int, least: int, l2: float, rate:
 
 def boosted(rows: DataFrame, cuts: list[np.ndarray], start: float, rounds: int, rate: float, leaves: int, least: int, l2: float) -> Trees:
     """Trees on bins: a row goes left where its bin is at most the threshold."""
-    done, since, blocks = Trees(0), [], None
+    done, since, blocks, sent = Trees(0), [], None, None
     for r in range(rounds):
         if r % REBUILD == 0:
-            done, old = Trees.joined([done, *since]) if since else done, blocks
-            since, model = [], rows.sparkSession.sparkContext.broadcast(done)
-            blocks = rows.rdd.mapPartitions(_arrays).map(lambda b, model=model: _binned(b, cuts, start, model.value)).persist(StorageLevel.MEMORY_AND_DISK)
+            done, old, told = Trees.joined([done, *since]) if since else done, blocks, sent
+            since, sent = [], rows.sparkSession.sparkContext.broadcast(done)
+            blocks = rows.rdd.mapPartitions(_arrays).map(lambda b, model=sent: _binned(b, cuts, start, model.value)).persist(StorageLevel.MEMORY_AND_DISK)
             blocks.count()
             if old is not None:
                 old.unpersist()
+                told.destroy()
         t = _grown(blocks, Trees.joined(since), leaves, least, l2, rate)
         since.append(t)
         if t.feature[0, 0] < 0:
             break
     blocks.unpersist()
+    sent.destroy()
     return Trees.joined([done, *since])
 
 
@@ -285,8 +287,12 @@ class Forest(Model, DefaultParamsWritable, DefaultParamsReadable):
         return dataset.withColumn("prediction", predict(vector_to_array("scaled")))
 
 
-def _rows(dataset: DataFrame, label: str) -> DataFrame:
-    return materialise(dataset.select(vector_to_array("scaled").alias("x"), F.col(label).cast("double").alias("y")), "rows")
+def _rows(dataset: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int]:
+    """The written rows, the same in as many partitions as they fill blocks, and their
+    number: passes over a small table are one task each."""
+    written = materialise(dataset.select(vector_to_array("scaled").alias("x"), F.col(label).cast("double").alias("y")), "rows")
+    n = written.count()
+    return written, written.coalesce(max(1, -(-n // ROWS))), n
 
 
 class ExtraTrees(Estimator):
@@ -295,12 +301,12 @@ class ExtraTrees(Estimator):
         self.label, self.trees, self.least, self.seed = label, trees, least, seed
 
     def _fit(self, dataset: DataFrame) -> Forest:
-        rows = _rows(dataset, self.label)
+        written, rows, n = _rows(dataset, self.label)
         blocks = rows.rdd.mapPartitions(_arrays).persist(StorageLevel.MEMORY_AND_DISK)
-        n, width = rows.count(), len(rows.first().x)
+        width = len(rows.first().x)
         found = extra_trees(blocks, n, width, self.trees, self.least, self.seed)
         blocks.unpersist()
-        release(rows)
+        release(written)
         return Forest(found, 0.0, 1 / self.trees)
 
 
@@ -310,13 +316,13 @@ class HistBoosting(Estimator):
         self.label, self.rounds, self.rate, self.leaves, self.least, self.l2 = label, rounds, rate, leaves, least, l2
 
     def _fit(self, dataset: DataFrame) -> Forest:
-        rows = _rows(dataset, self.label)
+        written, rows, _ = _rows(dataset, self.label)
         width, start = len(rows.first().x), rows.agg(F.avg("y")).first()[0]
         at = F.array(*[F.lit((i + 0.5) / (BINS + 1)) for i in range(BINS + 1)])
         values = rows.agg(*[F.percentile_approx(F.get("x", F.lit(f)), at, F.lit(20 * BINS)).alias(f"v{f}") for f in range(width)]).first()
         cuts = [(u[1:] + u[:-1]) / 2 for u in (np.unique(v) for v in values)]
         t = boosted(rows, cuts, start, self.rounds, self.rate, self.leaves, self.least, self.l2)
-        release(rows)
+        release(written)
         for k, v in zip(*np.nonzero(t.feature >= 0), strict=True):  # from bins to values
             t.threshold[k, v] = cuts[t.feature[k, v]][int(t.threshold[k, v])]
         return Forest(t, start, 1.0)
