@@ -94,7 +94,7 @@ def regression_metrics(spark, d):
 @query("kendall", """SELECT a.phenotype, round(CAST(sum(sign(a.target - b.target) * sign(a.f_rate - b.f_rate)) AS DOUBLE) / nullif(sqrt(CAST(count(*) FILTER (WHERE a.target <> b.target) AS DOUBLE) * count(*) FILTER (WHERE a.f_rate <> b.f_rate)), 0), 8) + 0.0 AS tau
  FROM features a JOIN features b ON a.phenotype = b.phenotype AND a.job_index < b.job_index GROUP BY a.phenotype""")
 def kendall(spark, d):
-    return rounded(order.kendall(_f(spark, d), ["phenotype"], "target", "f_rate").select("phenotype", "tau"))
+    return rounded(order.kendall(_f(spark, d), ["phenotype"], "target", "f_rate").where("n > 1").select("phenotype", "tau"))
 
 
 @query("bootstrap")
