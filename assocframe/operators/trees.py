@@ -160,8 +160,9 @@ def extra_trees(blocks: RDD, n: int, features: int, trees: int, least: int, seed
             fits = (k >= least) & (count[:, None] - k >= least) & (high > low)
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = np.where(fits, s**2 / k + (total[:, None] - s) ** 2 / (count[:, None] - k), -np.inf)
-            best = score.argmax(axis=1)
-            go = np.isfinite(score[np.arange(len(best)), best])
+            top = score.max(axis=1)
+            best = (score >= (top - 1e-9 * np.abs(top))[:, None]).argmax(axis=1)  # the first of equal ones, whatever the order of the sums
+            go = np.isfinite(top)
             tree, node, best, cut = tree[go], node[go], best[go], cut[go]
             left = t.split(tree, node, best, cut[np.arange(len(best)), best])
             tree, node = np.repeat(tree, 2), np.stack([left, left + 1], axis=1).ravel()
