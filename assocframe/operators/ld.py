@@ -1,11 +1,12 @@
 """Linkage disequilibrium from packed genotypes: r2 of pairs of variants, pruning
 by sliding windows and clumping.
 
-A variant's calls are one binary value, two bits a sample in the samples' order.
-Variants are laid out in blocks of neighbours by position, and blocks that a window
+A variant's calls are one binary value: two bits a sample in the samples' order or,
+where that is shorter, four bytes for each sample that has a call. Variants are laid out in blocks of neighbours by position, and blocks that a window
 reaches meet as pairs (tiles), where six matrix products give all counts and sums
-over the samples that both variants have. What is shuffled is a few copies of the
-packed calls: in proportion to variants, not to samples times pairs.
+over the samples that both variants have; of sparse blocks, over the samples that both
+blocks have. What is shuffled is a few copies of the packed calls: in proportion to
+calls, not to samples times pairs.
 """
 
 from __future__ import annotations
@@ -32,44 +33,107 @@ _CELL = 1_000_000
 
 
 def packed(dosages: DataFrame) -> DataFrame:
-    """(SNPID, calls): two bits for each sample, numbered in an order of their ids'
-    hashes: 0, 1 or 2 (dosages are rounded), or 3 where there is none. Of several
-    rows of a sample and variant the largest dosage counts."""
+    """(SNPID, calls): samples are numbered in an order of their ids' hashes, calls are
+    0, 1 or 2 (dosages are rounded). After a byte 0 come two bits for each sample, 3
+    where there is no call; after a byte 1, four times the sample's number plus the call,
+    for the samples that have one. Of several rows of a sample and variant the largest
+    dosage counts."""
     known = dosages.where("dosage is not null").select("IID", "SNPID", F.round("dosage").cast("int").alias("call"))
     cells = known.select("IID").distinct().withColumn("_g", F.lit(0)).withColumn("_c", F.pmod(F.xxhash64("IID"), F.lit(256)))
     at = materialise(positions(cells, ["_g"], ["_c"], ["IID"], "_at").select("IID", (F.col("_at") - 1).cast("int").alias("_at")), "samples")
     n = at.count()
-    lists = sized_join(known, at, ["IID"], spread=["SNPID"]).groupBy("SNPID").agg(F.array_sort(F.collect_list(F.struct("_at", "call"))).alias("v"))
+    lists = sized_join(known, at, ["IID"]).groupBy("SNPID").agg(F.array_sort(F.collect_list(F.struct("_at", "call"))).alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for place, call in zip(batch.column("place"), batch.column("call"), strict=True):
-                row = np.full(-(-n // 4) * 4, _MISSING, np.uint8)
-                row[np.asarray(place.values)] = np.asarray(call.values)
-                q = row.reshape(-1, 4)
-                out.append((q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes())
+            out = [_written(np.asarray(place.values), np.asarray(call.values), n) for place, call in zip(batch.column("place"), batch.column("call"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("SNPID"), pa.array(out, pa.binary())], names=["SNPID", "calls"])
 
     return lists.select("SNPID", F.col("v._at").alias("place"), F.col("v.call").alias("call")).mapInArrow(pack, "SNPID string, calls binary")
 
 
-def unpacked(calls: list[bytes], first: int, last: int) -> np.ndarray:
-    """The calls of samples first to last (a multiple of four), a row each."""
-    raw = np.stack([np.frombuffer(c, np.uint8, (min(last, 4 * len(c)) - first) // 4, first // 4) for c in calls])
-    return np.stack([raw >> s & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(calls), -1)
+def _written(place: np.ndarray, call: np.ndarray, n: int) -> bytes:
+    """The calls of one variant, by ascending place (of equal ones the last counts)."""
+    if 4 * len(place) < -(-n // 4):
+        last = np.append(np.diff(place) > 0, True)
+        return b"\1" + (place[last].astype("<u4") << 2 | call[last].astype("<u4")).astype("<u4").tobytes()
+    row = np.full(-(-n // 4) * 4, _MISSING, np.uint8)
+    row[place] = call
+    q = row.reshape(-1, 4)
+    return b"\0" + (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes()
 
 
-def correlations(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Samples that have both calls, and r2 over them, of all pairs of two lists of
-    variants; r2 is nan where one of them doesn't vary."""
+def _sparse(call: bytes) -> np.ndarray | None:
+    return np.frombuffer(call, "<u4", offset=1) if call[0] else None
+
+
+def _samples(calls: list[bytes]) -> np.ndarray | None:
+    """The samples that have calls of these variants; None: it may be all."""
+    found = [_sparse(c) for c in calls]
+    return None if any(f is None for f in found) else np.unique(np.concatenate(found) >> 2)
+
+
+def unpacked(calls: list[bytes], samples: np.ndarray) -> np.ndarray:
+    """The calls of these samples (ascending), a row each."""
+    out = np.full((len(calls), len(samples)), _MISSING, np.uint8)
+    for row, c in zip(out, calls, strict=True):
+        if (has := _sparse(c)) is None:
+            row[:] = np.frombuffer(c, np.uint8, offset=1)[samples >> 2] >> ((samples & 3) << 1).astype(np.uint8) & 3
+        else:
+            has = has[np.searchsorted(has, samples[0] << 2) : np.searchsorted(has, (samples[-1] << 2) + 4)]
+            spot = np.searchsorted(samples, has >> 2)
+            there = samples[np.minimum(spot, len(samples) - 1)] == has >> 2
+            row[spot[there]] = has[there] & 3
+    return out
+
+
+def _by_sample(a: list[bytes], b: list[bytes]) -> np.ndarray | None:
+    """n and the sums of x, y, x squared, y squared and xy of all pairs of sparse
+    variants, from the pairs of calls of a sample; None where products are cheaper."""
+    calls = [[_sparse(c) for c in v] for v in (a, b)]
+    if any(c is None for v in calls for c in v):
+        return None
+    flat = []
+    for v in calls:
+        call, of = np.concatenate(v).astype(np.int64), np.repeat(np.arange(len(v)), [len(c) for c in v])
+        order = np.argsort(call >> 2, kind="stable")
+        flat.append((call[order] >> 2, (call[order] & 3).astype(float), of[order]))
+    (at, x, i), (other, y, j) = flat
+    first = np.searchsorted(other, at)
+    met = np.searchsorted(other, at, "right") - first
+    pairs = int(met.sum())
+    if pairs > len(a) * len(b) * 64:
+        return None
+    left = np.repeat(np.arange(len(at)), met)
+    right = np.arange(pairs) + np.repeat(first - np.cumsum(met) + met, met)
+    cell, x, y = i[left] * len(b) + j[right], x[left], y[right]
+    return np.stack([np.bincount(cell, w, len(a) * len(b)).reshape(len(a), len(b)) for w in (np.ones(pairs), x, y, x * x, y * y, x * y)])
+
+
+def _by_products(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The same by matrix products over the samples that both lists may have."""
     sums = np.zeros((6, len(a), len(b)))
-    for first in range(0, 4 * len(a[0]), SAMPLES):
-        x, y = unpacked(a, first, first + SAMPLES), unpacked(b, first, first + SAMPLES)
+    sets = [s for s in (_samples(a), _samples(b)) if s is not None]
+    if sets:
+        shared = sets[0] if len(sets) == 1 else np.intersect1d(*sets, assume_unique=True)
+    else:
+        shared = np.arange(4 * (len(next(c for c in a if not c[0])) - 1))
+    shared = shared.astype(np.int64)
+    for first in range(0, len(shared), SAMPLES):
+        x, y = (unpacked(v, shared[first : first + SAMPLES]) for v in (a, b))
         has_x, has_y = ((v != _MISSING).astype(np.float32) for v in (x, y))
         x, y = x * has_x, y * has_y
         for k, (u, v) in enumerate(((has_x, has_y), (x, has_y), (has_x, y), (x * x, has_y), (has_x, y * y), (x, y))):
             sums[k] += u @ v.T  # whole numbers under 2**24, so exact
+    return sums
+
+
+def correlations(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples that have both calls, and r2 over them, of all pairs of two lists of
+    variants; r2 is nan where one of them doesn't vary."""
+    sums = _by_sample(a, b)
+    if sums is None:
+        sums = _by_products(a, b)
     n, sx, sy, sxx, syy, sxy = sums
     both = (n * sxx - sx * sx) * (n * syy - sy * sy)
     with np.errstate(invalid="ignore", divide="ignore"):

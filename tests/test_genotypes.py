@@ -169,6 +169,24 @@ def test_clumping_is_the_walk(spark, seed):
     assert {r.SNPID: r.members for r in ld.clump(stats, linked, p1, 0.3, p2).collect()} == want
 
 
+def test_calls_of_few_samples_stay_few(spark, monkeypatch):
+    """What is packed grows with the calls, not with variants times samples; rare and
+    common variants of one block compare as before."""
+    monkeypatch.setattr(ld, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    dose = genotypes(rng, 2000, 16, missing=0.2)
+    for k, s in enumerate(dose):
+        if k not in (3, 5):
+            dose[s] = np.where(np.isin(np.arange(2000), rng.choice(200, 60, replace=False)), dose[s], -1)
+    at = {s: ("1", 10 * k) for k, s in enumerate(dose)}
+    d, places = frames(spark, dose, at)
+    sizes = {r.SNPID: len(r.calls) for r in ld.packed(d).collect()}
+    assert all(sizes[s] <= 1 + 4 * 60 for s in dose if s not in ("v0003", "v0005")) and sizes["v0003"] > 400
+    got = {(r.s1, r.s2): (r.n, r.r2) for r in ld.by_distance(d, places, 80).collect()}
+    want = {(s, t): r2(dose[s], dose[t]) for s in dose for t in dose if at[s] < at[t] and at[t][1] - at[s][1] <= 80}
+    assert got == {k: (n, pytest.approx(v) if v is not None else None) for k, (n, v) in want.items() if n}
+
+
 def test_no_genotypes(spark):
     d = spark.createDataFrame([], "IID string, SNPID string, dosage int")
     places = spark.createDataFrame([("a", "1", 5)], "SNPID string, CHR string, POS long")
