@@ -114,3 +114,37 @@ def test_in_a_pipeline_saved_and_loaded(spark, tmp_path, kind):
     read = lambda m: [r.prediction for r in m.transform(df).select("prediction").collect()]
     assert read(back) == read(model) and len(set(read(model))) > 3
     assert len(trees.Trees(0).values(np.zeros((2, 3))).sum(axis=1)) == 2
+
+
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_rows_of_equal_features_are_one_cell(spark, monkeypatch, local):
+    """Ten times the rows over the same features: the trees of the plain way, without a
+    job for each level where the cells are few."""
+    monkeypatch.setattr(trees, "LOCAL", local)
+    x, y = data(40, 5)
+    x, y = np.tile(np.round(x, 1), (10, 1)), np.concatenate([y + k / 10 for k in range(10)])
+    df = frame(spark, x, y)
+    passes, told = [], trees._told
+    monkeypatch.setattr(trees, "_told", lambda blocks, *a: passes.append(isinstance(blocks, list)) or told(blocks, *a))
+    model = trees.HistBoosting("y", rounds=4, rate=0.3, leaves=4, least=20).fit(df)
+    assert passes and set(passes) == {bool(local)}
+    p, held = predicted(model, df)
+    want = plain_boosting(x, y, 4, 0.3, 4, 20, 0.1)
+    assert sorted(zip(held, p, strict=True)) == [(pytest.approx(a), pytest.approx(b)) for a, b in sorted(zip(y, want, strict=True))]
+    t = trees.ExtraTrees("y", trees=3).fit(df).trees()
+    leaf = t.nodes(x)
+    for k in range(3):
+        for v in np.unique(leaf[:, k]):
+            assert t.value[k, v] == pytest.approx(y[leaf[:, k] == v].mean())
+
+
+def test_joined_trees_have_no_more_room_than_nodes():
+    """Trees of different sizes, joined again round after round, as boosting does."""
+    made = []
+    for k in range(40):
+        t = trees.Trees(1)
+        for v in range(k % 3 + 1):
+            t.split(np.array([0]), np.array([2 * v]), np.array([0]), np.array([0.5]))
+        made.append(t)
+        whole = trees.Trees.joined(made)
+        assert whole.feature.shape[1] == max(int(m.size[0]) for m in made) and max(m.feature.shape[1] for m in made) < 20
