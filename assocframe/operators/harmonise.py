@@ -179,11 +179,18 @@ def valid_prs_row(tool: str = "plink") -> Column:
 def fill_rsid(variants: DataFrame, reference: DataFrame) -> DataFrame:
     """Ids for rows without one, from (CHR, POS, EA, NEA, ref_id): the same
     alleles, then swapped ones, then the position. The reference has one row per
-    key before it is joined, so no row multiplies."""
+    key before it is joined, so no row multiplies. Rows that have an id aren't joined."""
+    return matched(variants, reference).withColumn("filled_id", F.coalesce("SNPID", "by_alleles", "by_swap", "by_place")).drop("by_alleles", "by_swap", "by_place")
+
+
+def matched(variants: DataFrame, reference: DataFrame) -> DataFrame:
+    """variants with by_alleles, by_swap and by_place: the ids that a reference (CHR, POS,
+    EA, NEA, ref_id) has for those that have none; null for the others."""
     four = first_by(reference.select("CHR", "POS", "EA", "NEA", "ref_id"), ["CHR", "POS", "EA", "NEA"], "ref_id")
     place = reference.groupBy("CHR", "POS").agg(F.min("ref_id").alias("by_place"))
     swap = four.select("CHR", "POS", F.col("NEA").alias("EA"), F.col("EA").alias("NEA"), F.col("ref_id").alias("by_swap"))
-    out = variants.join(four.withColumnRenamed("ref_id", "by_alleles"), ["CHR", "POS", "EA", "NEA"], "left").join(swap, ["CHR", "POS", "EA", "NEA"], "left").join(place, ["CHR", "POS"], "left")
-    return out.withColumn("filled_id", F.coalesce("SNPID", "by_alleles", "by_swap", "by_place")).drop("by_alleles", "by_swap", "by_place")
+    found = variants.where("SNPID is null").join(four.withColumnRenamed("ref_id", "by_alleles"), ["CHR", "POS", "EA", "NEA"], "left").join(swap, ["CHR", "POS", "EA", "NEA"], "left").join(place, ["CHR", "POS"], "left")
+    none = [F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in ("by_alleles", "by_swap", "by_place")]
+    return variants.where("SNPID is not null").select(*found.columns[:-3], *none).unionByName(found)
 
 

@@ -246,11 +246,9 @@ def agg_target_compat(spark: SparkSession, d: str) -> DataFrame:
 def fill_rsid_reference(spark: SparkSession, d: str) -> DataFrame:
     v, t = _vt(spark, d)
     ref = t.select("CHR", "POS", F.col("A1").alias("EA"), F.col("A2").alias("NEA"), F.col("SNPID").alias("ref_id"))
-    exact = ref.select("CHR", "POS", "EA", "NEA").distinct().withColumn("_e", F.lit(1))
-    turned = ref.select("CHR", "POS", F.col("NEA").alias("EA"), F.col("EA").alias("NEA")).distinct().withColumn("_s", F.lit(1))
-    keys = ["CHR", "POS", "EA", "NEA"]
-    out = h.fill_rsid(v, ref).join(exact, keys, "left").join(turned, keys, "left")
-    return out.groupBy("job_index").agg(F.count(F.lit(1)).alias("rows"), F.count("SNPID").alias("had"), F.count("filled_id").alias("filled"), F.count_if(F.col("SNPID").isNull() & F.col("_e").isNull() & F.col("_s").isNotNull()).alias("by_swap"))
+    out = h.matched(v, ref)
+    filled = F.coalesce("SNPID", "by_alleles", "by_swap", "by_place")
+    return out.groupBy("job_index").agg(F.count(F.lit(1)).alias("rows"), F.count("SNPID").alias("had"), F.count(filled).alias("filled"), F.count_if(F.col("SNPID").isNull() & F.col("by_alleles").isNull() & F.col("by_swap").isNotNull()).alias("by_swap"))
 
 
 @query("locus_greedy")
