@@ -3,6 +3,8 @@ complementary error function and chi-squared quantiles of one degree."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from assocframe.functions.numeric import let
@@ -53,17 +55,24 @@ def z_from_p(p: Column, exact_tail: bool = False) -> Column:
 
 def erfc(x: Column, terms: int = 40) -> Column:
     """The complementary error function for x >= 0: a series below 2.5 and a
-    continued fraction beyond."""
-
-    def of(v: Column) -> Column:
-        def add(a: Column, k: Column) -> Column:
-            return let(-a["t"] * v * v / k, lambda t: F.struct(t.alias("t"), (a["s"] + t / (2 * k + 1)).alias("s")))
-
-        series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(v.alias("t"), v.alias("s")), add, lambda a: 1 - a["s"] * 1.1283791670955126)
-        fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), v, lambda f, k: v + k / 2.0 / f)
-        return F.when(v < 2.5, series).otherwise(F.exp(-v * v) * 0.5641895835477563 / fraction)
-
-    return let(x.cast("double"), of)
+    continued fraction beyond, of a batch of rows at once."""
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(float)
+        low = np.where(v < 2.5, v, 0.0)
+        high = np.where(v < 2.5, 2.5, v)
+        total, t = low.copy(), low
+        for k in range(1, terms + 1):
+            t = -t * low * low / k
+            total = total + t / (2 * k + 1)
+        f = high
+        for k in range(60, 0, -1):
+            f = high + k / 2.0 / f
+        return pd.Series(np.where(v < 2.5, 1 - total * 1.1283791670955126, np.exp(-high * high) * 0.5641895835477563 / f))
+
+    value = x.cast("double")
+    return F.when(value.isNotNull(), of(value))
 
 
 def two_sided_p(z: Column) -> Column:

@@ -178,3 +178,25 @@ def test_ids_above_two_to_the_53_stay_whole(spark):
     raw = spark.createDataFrame([("1:5:A:G", "9007199254740993", "0.5", "1200"), ("2:6:C:T", "-9007199254740995", "x", None)], "m string, id string, b string, n string")
     rows = h.standardise(raw, {"CHR": ["chrom"], "ROW": ["id"], "BETA": ["b"], "N": ["n"]}, "m").collect()
     assert [tuple(r) for r in rows] == [("1", "9007199254740993", 0.5, 1200), ("2", "-9007199254740995", None, None)]
+
+
+def test_erfc_is_not_walked_row_by_row(spark):
+    """Batches in place of a lambda for each term of each row; nulls stay null."""
+    from pyspark.sql import functions as F
+
+    from assocframe.functions import stats
+
+    df = spark.createDataFrame([(0.0,), (3.0,), (None,)], "x double").select(stats.erfc(F.col("x")).alias("y"))
+    assert "lambda" not in df._jdf.queryExecution().toString().lower()
+    got = [r.y for r in df.collect()]
+    assert got[0] == 1 and got[1] == pytest.approx(math.erfc(3), rel=1e-9) and got[2] is None
+
+
+def test_only_rows_without_an_id_are_looked_up(spark):
+    from assocframe.operators import harmonise
+
+    v = spark.createDataFrame([("rs1", "1", 5, "A", "C"), (None, "1", 5, "A", "C"), (None, "1", 5, "C", "A"), (None, "1", 5, "G", "T"), (None, "2", 5, "A", "C")], "SNPID string, CHR string, POS int, EA string, NEA string")
+    ref = spark.createDataFrame([("1", 5, "A", "C", "rs9"), ("1", 5, "A", "C", "rs8")], "CHR string, POS int, EA string, NEA string, ref_id string")
+    got = {(r.SNPID, r.CHR, r.EA): (r.by_alleles, r.by_swap, r.by_place) for r in harmonise.matched(v, ref).collect()}
+    assert got == {("rs1", "1", "A"): (None, None, None), (None, "1", "A"): ("rs8", None, "rs8"), (None, "1", "C"): (None, "rs8", "rs8"), (None, "1", "G"): (None, None, "rs8"), (None, "2", "A"): (None, None, None)}
+    assert sorted(str(r.filled_id) for r in harmonise.fill_rsid(v, ref).collect()) == ["None", "rs1", "rs8", "rs8", "rs8"]
