@@ -148,3 +148,17 @@ def test_joined_trees_have_no_more_room_than_nodes():
         made.append(t)
         whole = trees.Trees.joined(made)
         assert whole.feature.shape[1] == max(int(m.size[0]) for m in made) and max(m.feature.shape[1] for m in made) < 20
+
+
+def test_boosting_fits_a_row_for_each_set_of_features(spark):
+    """As the learner does over all rows, which copies would otherwise multiply."""
+    x, y = data(24, 6)
+    x, y = np.tile(np.round(x, 1), (5, 1)), np.concatenate([y + k / 7 for k in range(5)])
+    df = frame(spark, x, y)
+    cells, seen = ml.learner("boosting", "y", trees=6), []
+    whole = cells.inner.copy()
+    whole.clear(whole.weightCol)
+    inner = cells.inner
+    cells.inner = type("Spy", (), {"getLabelCol": inner.getLabelCol, "fit": lambda self, d: seen.append(d.count()) or inner.fit(d)})()
+    got, want = predicted(cells.fit(df), df)[0], predicted(whole.fit(df), df)[0]
+    assert seen == [24] and sorted(got) == pytest.approx(sorted(want))
