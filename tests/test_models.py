@@ -146,3 +146,37 @@ def test_every_row_has_its_place(spark):
     want = {r[3]: i + 1 for i, r in enumerate(sorted(rows))}
     got = {r.job_index: r.place for r in registry.queries()["sort_multi_all"](spark, sf).collect()}
     assert len(got) > 25 and got == want
+
+
+def test_components_of_vectors_in_parts(spark, small, monkeypatch):
+    """Without vectors of the samples' number in the driver, restarts included, whatever
+    the parts; the driver's own solver isn't asked."""
+    from assocframe.operators import spectral
+
+    want = {r.IID: r for r in prs.components(mq.dosages(spark, small)).collect()}
+    monkeypatch.setattr(prs, "WHOLE", 20)
+    monkeypatch.setattr(prs, "leading", None)
+    monkeypatch.setattr(spectral, "MOST", 40)
+    monkeypatch.setattr(spectral, "KEPT", 2)
+    got = {r.IID: r for r in prs.components(mq.dosages(spark, small)).collect()}
+    assert set(got) == set(want)
+    for k in range(1, 7):
+        a, b = (np.array([d[i][f"PC{k}"] for i in sorted(want)]) for d in (got, want))
+        assert np.abs(a - b).max() < 1e-6
+
+
+def test_equal_eigenvalues_have_all_their_vectors(spark):
+    """Eight equal blocks, and a part that has no entries: six orthonormal vectors of
+    the greatest eigenvalue."""
+    from assocframe.operators import spectral
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9, 5))
+    z = np.kron(np.eye(8), x)
+    rows = [(int(i), int(j), float(z[i, j])) for i, j in zip(*np.nonzero(z), strict=True)]
+    df = spark.createDataFrame(rows, "at long, to long, z double")
+    got = sorted(tuple(r) for r in spectral.leading(spark, df, 100, 40, 6).collect())
+    v = np.array(got)[:, 1:]
+    assert [r[0] for r in got] == list(range(100)) and np.abs(v[72:]).max() < 1e-12
+    assert v.T @ v == pytest.approx(np.eye(6), abs=1e-9)
+    assert z @ (z.T @ v[:72]) == pytest.approx(np.linalg.eigvalsh(x @ x.T)[-1] * v[:72], abs=1e-6)
