@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assocframe.operators import fold_evaluation as fe, ml, penalty, prs
 from assocframe.plans import model_queries as mq, registry
@@ -180,3 +181,18 @@ def test_equal_eigenvalues_have_all_their_vectors(spark):
     assert [r[0] for r in got] == list(range(100)) and np.abs(v[72:]).max() < 1e-12
     assert v.T @ v == pytest.approx(np.eye(6), abs=1e-9)
     assert z @ (z.T @ v[:72]) == pytest.approx(np.linalg.eigvalsh(x @ x.T)[-1] * v[:72], abs=1e-6)
+
+
+def test_scores_ask_for_the_dosages_once(spark, small):
+    """One scan of the largest table, and a score at every threshold from a sample's first."""
+    found = prs.score(mq.dosages(spark, small), view(spark, small, "target"), prs.thresholds(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan parquet" in line and "l_partkey" in line for line in plan.splitlines()) == 1
+    y = view(spark, small, "samples").select("IID", F.col("PHENO").alias("y"))
+    plan = prs.best_fit(found, y)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan parquet" in line and "l_partkey" in line for line in plan.splitlines()) == 1
+    d = spark.createDataFrame([("a", "v1", 1), ("a", "v2", 2), ("b", "v3", 1)], "IID string, SNPID string, dosage int")
+    w = spark.createDataFrame([("v1", 0.5, 0.01), ("v2", 0.25, 0.3), ("v3", 1.0, 0.9)], "SNPID string, BETA double, P double")
+    grid = spark.createDataFrame([(0.001,), (0.01,), (0.1,), (0.3,), (1.0,)], "threshold double")
+    got = {(r.IID, r.threshold): (r.variants, r.score) for r in prs.score(d, w, grid).collect()}
+    assert got == {("a", 0.01): (1, 0.25), ("a", 0.1): (1, 0.25), ("a", 0.3): (2, 0.25), ("a", 1.0): (2, 0.25), ("b", 1.0): (1, 0.5)}
