@@ -162,3 +162,52 @@ def test_boosting_fits_a_row_for_each_set_of_features(spark):
     cells.inner = type("Spy", (), {"getLabelCol": inner.getLabelCol, "fit": lambda self, d: seen.append(d.count()) or inner.fit(d)})()
     got, want = predicted(cells.fit(df), df)[0], predicted(whole.fit(df), df)[0]
     assert seen == [24] and sorted(got) == pytest.approx(sorted(want))
+
+
+def test_a_forest_draws_rows_wherever_they_are(spark, monkeypatch):
+    """Leaves hold the means of what their tree draws, two rows at least, by Poisson's law,
+    and copies are drawn like others; the same trees whatever the partitions."""
+    x, y = data(150, 7)
+    x[:, [0, 2]] = np.round(x[:, [0, 2]], 1)
+    x, y = np.concatenate([x, x[:40]]), np.concatenate([y, y[:40]])
+    model = ml.learner("forest", "y", trees=45).fit(frame(spark, x, y))
+    again = ml.learner("forest", "y", trees=45).fit(frame(spark, x[::-1], y[::-1]).coalesce(1))
+    t = model.trees()
+    assert len(t.feature) == 45 and (again.trees().feature == t.feature).all() and again.trees().threshold == pytest.approx(t.threshold)
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    equal = frame(spark, x, y).select(vector_to_array("scaled").alias("x"), "y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("x", "y")).collect()
+    draws = np.stack([np.random.Generator(np.random.Philox(key=np.array([np.int64(r.h).view(np.uint64), 42], np.uint64))).poisson(r.n, 45) for r in equal])
+    assert len(equal) == 150 and draws.mean() == pytest.approx(190 / 150, abs=0.05)
+    leaf = t.nodes(np.array([r.x for r in equal]))
+    label = np.array([r.y for r in equal])
+    for k in range(45):
+        for v in np.unique(leaf[draws[:, k] > 0, k]):
+            on = leaf[:, k] == v
+            assert draws[on, k].sum() >= 2
+            assert t.value[k, v] + y.mean() == pytest.approx(np.average(label[on], weights=draws[on, k]))
+    share = model.featureImportances.toArray()
+    assert share.sum() == pytest.approx(1) and share.argmax() == 0 and share[3] == 0
+    monkeypatch.setattr(trees, "LOCAL", 10)  # many cells: Spark's own
+    assert ml.learner("forest", "y", trees=3).fit(frame(spark, x, y)).getNumTrees == 3
+
+
+def test_a_forest_learns_as_sparks_own(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    x, y = data(300, 8)
+    ours = ml.learner("forest", "y", trees=100).fit(frame(spark, x[:200], y[:200]))
+    own = RandomForestRegressor(featuresCol="scaled", labelCol="y", numTrees=100, minInstancesPerNode=2, maxDepth=30, featureSubsetStrategy="all", seed=42).fit(frame(spark, x[:200], y[:200]))
+    (p, held), (q, _) = (predicted(m, frame(spark, x[200:], y[200:])) for m in (ours, own))
+    assert 1 - ((p - held) ** 2).mean() / held.var() > 0.8
+    assert ((p - held) ** 2).mean() < 1.25 * ((q - held) ** 2).mean(), (((p - held) ** 2).mean(), ((q - held) ** 2).mean())
+    assert ours.featureImportances.toArray() == pytest.approx(own.featureImportances.toArray(), abs=0.05)
+
+
+def test_few_values_have_a_bin_each(spark):
+    """Whatever their shares: a rare value isn't joined with its neighbour."""
+    x = np.repeat(np.arange(10.0), [1000, 4, 4, 4, 4, 4, 4, 4, 4, 4])[:, None]
+    y = np.where(x[:, 0] % 2 > 0, 1.0, -1.0)
+    p, label = predicted(ml.learner("forest", "y", trees=200).fit(frame(spark, x, y)), frame(spark, x, y))
+    assert np.abs(p - label).max() < 0.35
