@@ -189,7 +189,8 @@ def test_a_forest_draws_rows_wherever_they_are(spark, monkeypatch):
             assert t.value[k, v] + y.mean() == pytest.approx(np.average(label[on], weights=draws[on, k]))
     share = model.featureImportances.toArray()
     assert share.sum() == pytest.approx(1) and share.argmax() == 0 and share[3] == 0
-    monkeypatch.setattr(trees, "LOCAL", 10)  # many cells: Spark's own
+    filled = len({tuple((x[i, f] > t.threshold[(t.feature == f)]).sum() for f in range(4)) for i in range(len(x))})
+    monkeypatch.setattr(trees, "LOCAL", 7 * filled // 2)  # many cells: Spark's own
     assert ml.learner("forest", "y", trees=3).fit(frame(spark, x, y)).getNumTrees == 3
 
 
