@@ -196,3 +196,33 @@ def test_scores_ask_for_the_dosages_once(spark, small):
     grid = spark.createDataFrame([(0.001,), (0.01,), (0.1,), (0.3,), (1.0,)], "threshold double")
     got = {(r.IID, r.threshold): (r.variants, r.score) for r in prs.score(d, w, grid).collect()}
     assert got == {("a", 0.01): (1, 0.25), ("a", 0.1): (1, 0.25), ("a", 0.3): (2, 0.25), ("a", 1.0): (2, 0.25), ("b", 1.0): (1, 0.5)}
+
+
+def test_no_task_holds_a_folds_samples(spark, monkeypatch):
+    """Blocks and cells of a few samples give what one block and cell give; predictions
+    tie, some samples have no score, one fold has one class, and a threshold one score."""
+    rng = np.random.default_rng(6)
+    age, score = rng.integers(20, 26, 300).astype(float), rng.integers(-2, 3, 300) / 4
+    y = (rng.random(300) < 1 / (1 + np.exp(-score))).astype(float)
+    fold = np.where(np.arange(300) < 9, 7, np.arange(300) % 3)
+    y[:9] = 1.0
+    s = spark.createDataFrame([(str(i), int(fold[i]), float(y[i]), float(age[i])) for i in range(300)], "IID string, fold int, y double, AGE double").repartition(3)
+    k = spark.createDataFrame([(str(i), t, float(score[i])) for i in range(280) for t in (0.1, 0.9)] + [("299", 1.0, 0.5)], "IID string, threshold double, score double")
+    seen = []
+    plain = fe.Moments.__init__
+    monkeypatch.setattr(fe.Moments, "__init__", lambda self, x: (seen.append(len(x)), plain(self, x))[1])
+    want = {(r.fold, r.threshold): r for r in fe.evaluate(s, k, ["AGE"]).collect()}
+    assert max(seen) == 0 and len(want) == 12  # the driver makes none of rows
+    for t in (0.1, 0.9):
+        for held in range(3):
+            z = np.where(fold[:280] == held, score[:280], np.nan)
+            pairs = [(a > b) + (a == b) / 2 for a in z[(y[:280] == 1) & ~np.isnan(z)] for b in z[(y[:280] == 0) & ~np.isnan(z)]]
+            assert want[held, t].test_pure == pytest.approx(np.mean(pairs), abs=1e-12)
+        assert want[7, t].test_best is None and (want[7, t].test_n, want[7, t].test_controls) == (9, 0)
+    assert want[0, 1.0].train_n + want[0, 1.0].test_n == 1 and want[0, 1.0].train_best is None
+    monkeypatch.setattr(fe, "BLOCK", 16)
+    monkeypatch.setattr(fe, "ROWS", 20)
+    monkeypatch.setattr(fe, "DRAWN", 64)
+    for r in fe.evaluate(s, k, ["AGE"]).collect():
+        for c, v in want[r.fold, r.threshold].asDict().items():
+            assert r[c] == (v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-12)), c
