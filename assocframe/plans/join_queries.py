@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assocframe.functions import genomic as g
 from assocframe.operators import compat as c, concordance as cc, harmonise as h
 from assocframe.plans.base import query, rounded
-from assocframe.plans.views import view
+from assocframe.plans.views import ordered, view
 
 _COMP = "translate({0}, 'ACGT', 'TGCA')"
 
@@ -27,7 +27,7 @@ _STATUS_COUNTS = "count(*) AS matched, " + ", ".join(f"count(*) FILTER (WHERE st
 
 
 def _vt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return view(spark, d, "variants"), view(spark, d, "target")
+    return ordered(spark, d, "variants"), view(spark, d, "target")
 
 
 @query("join_rsid_allele", f"""WITH a AS (SELECT job_index, SNPID, arg_min(EA, row_id) AS EA, arg_min(NEA, row_id) AS NEA FROM variants WHERE SNPID IS NOT NULL GROUP BY job_index, SNPID),
@@ -49,7 +49,7 @@ _MATCHED = f"""m AS (SELECT v.job_index, v.row_id, v.BETA, v.P, t.SNPID AS t_id,
 
 @query("join_id_then_coord", f"WITH {_MATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY job_index, row_id ORDER BY t_p, t_id) AS r FROM m WHERE status NOT IN ('mismatch', 'missing_allele')) SELECT job_index, row_id, t_id, round(t_p, 8) AS t_p, how, status FROM r WHERE r = 1")
 def join_id_then_coord(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(c.id_then_coordinate(*_vt(spark, d)))
+    return rounded(c.id_then_coordinate(view(spark, d, "variants"), view(spark, d, "target")))
 
 
 _CORR = "round(CASE WHEN count({0}) >= 3 THEN covar_samp({0}, {1}) / nullif(stddev_samp({0}) * stddev_samp({1}), 0) END, 8) + 0.0"
@@ -188,14 +188,14 @@ _PAIRS = """k AS (SELECT v.*, phenotype, row_number() OVER (PARTITION BY v.job_i
 
 @query("join_harmonised", f"WITH {_PAIRS} SELECT file1, file2, count(*) AS shared, CAST(sum(turned) AS BIGINT) AS turned, round(sum(b1 * b2), 8) + 0.0 AS product FROM q GROUP BY file1, file2")
 def join_harmonised(spark: SparkSession, d: str) -> DataFrame:
-    rows = cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs"))
+    rows = cc.harmonised_pairs(ordered(spark, d, "variants"), view(spark, d, "jobs"))
     return rounded(rows.groupBy("file1", "file2").agg(F.count(F.lit(1)).alias("shared"), F.sum("turned").alias("turned"), F.sum(F.col("b1") * F.col("b2")).alias("product")))
 
 
 @query("join_pairwise", f"""WITH {_PAIRS} SELECT phenotype, file1, file2, count(*) AS shared, CAST(sum(turned) AS BIGINT) AS turned, {_CORR.format('b1', 'b2')} AS beta_r, {_CORR.format('a1', 'a2')} AS abs_beta_r, {_CORR.format('l1', 'l2')} AS logp_r, {_CORR.format('f1', 'f2')} AS eaf_r,
  round(100.0 * count(*) FILTER (WHERE sign(b1) = sign(b2)) / count(*), 8) AS same_sign_pct FROM q GROUP BY phenotype, file1, file2""")
 def join_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cc.pairwise(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs"))))
+    return rounded(cc.pairwise(cc.harmonised_pairs(ordered(spark, d, "variants"), view(spark, d, "jobs"))))
 
 
 _RANKS = ", ".join(f"rank() OVER (PARTITION BY file1, file2 ORDER BY {c}) + (count(*) OVER (PARTITION BY file1, file2, {c}) - 1) / 2.0 AS r_{c}" for c in ("b1", "b2", "p1", "p2"))
@@ -206,13 +206,13 @@ _COMPARED = ", ".join(f"count(*) AS {k}_{how}_n, {_CORR.format(_SIDE(x, how), _S
 @query("join_pairwise_full", f"WITH {_PAIRS}, z AS (SELECT *, {_RANKS} FROM q) SELECT phenotype, file1, file2, count(*) AS n_common_snps, count(*) FILTER (WHERE turned = 0) AS n_direct_allele_match, count(*) FILTER (WHERE turned = 1) AS n_flipped_allele_match, {_COMPARED} FROM z GROUP BY phenotype, file1, file2")
 def join_pairwise_full(spark: SparkSession, d: str) -> DataFrame:
     """All seven comparisons by both methods; p has no SQL (join_pairwise_p)."""
-    found = cc.correlations(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs")))
+    found = cc.correlations(cc.harmonised_pairs(ordered(spark, d, "variants"), view(spark, d, "jobs")))
     return rounded(found.drop(*[c for c in found.columns if c.endswith("_p")]))
 
 
 @query("join_pairwise_p")
 def join_pairwise_p(spark: SparkSession, d: str) -> DataFrame:
-    found = cc.correlations(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs")))
+    found = cc.correlations(cc.harmonised_pairs(ordered(spark, d, "variants"), view(spark, d, "jobs")))
     return found.select("phenotype", "file1", "file2", *[c for c in found.columns if c.endswith("_p")])
 
 
@@ -222,13 +222,13 @@ _PAIRWISE = f"WITH {_PAIRS}, w AS (SELECT phenotype, file1, file2, count(*) AS s
 @query("agg_concordance_summary", f"""{_PAIRWISE}, u AS (SELECT 'beta_r' AS metric, beta_r AS v FROM w UNION ALL SELECT 'eaf_r', eaf_r FROM w) SELECT metric, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(min(v), 6) AS min, round(max(v), 6) AS max,
  count(*) FILTER (WHERE v > 0) AS positive, count(*) FILTER (WHERE v < 0) AS negative, count(*) FILTER (WHERE abs(v) >= 0.1) AS abs_1, count(*) FILTER (WHERE abs(v) >= 0.2) AS abs_2, count(*) FILTER (WHERE abs(v) >= 0.5) AS abs_5 FROM u WHERE v IS NOT NULL GROUP BY metric""")
 def agg_concordance_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cc.summary(rounded(cc.pairwise(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs")))), ["beta_r", "eaf_r"]), 6)
+    return rounded(cc.summary(rounded(cc.pairwise(cc.harmonised_pairs(ordered(spark, d, "variants"), view(spark, d, "jobs")))), ["beta_r", "eaf_r"]), 6)
 
 
 @query("agg_concordance_tables", f"""{_PAIRWISE} SELECT phenotype, count(*) AS pairs, (SELECT CAST(count(DISTINCT f) AS INT) FROM (SELECT phenotype AS p, file1 AS f FROM w UNION ALL SELECT phenotype, file2 FROM w) WHERE p = w.phenotype) AS files, round(quantile_cont(beta_r, 0.25), 6) AS q25, round(quantile_cont(beta_r, 0.5), 6) AS median, round(quantile_cont(beta_r, 0.75), 6) AS q75,
  round(min(beta_r), 6) AS min, round(max(beta_r), 6) AS max FROM w GROUP BY phenotype""")
 def agg_concordance_tables(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cc.tables(rounded(cc.pairwise(cc.harmonised_pairs(view(spark, d, "variants"), view(spark, d, "jobs")))), "beta_r"), 6)
+    return rounded(cc.tables(rounded(cc.pairwise(cc.harmonised_pairs(ordered(spark, d, "variants"), view(spark, d, "jobs")))), "beta_r"), 6)
 
 
 @query("agg_target_compat", """WITH j AS (SELECT v.job_index, v.EAF, t.MAF, CASE WHEN EA = A1 AND NEA = A2 THEN 'same' WHEN EA = A2 AND NEA = A1 THEN 'flipped' ELSE 'mismatch' END AS o FROM variants v JOIN target t ON v.CHR = t.CHR AND v.POS = t.POS)

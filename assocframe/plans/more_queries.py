@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assocframe.functions import numeric as m, text as t
 from assocframe.operators import heritability as hb, harmonise as h, tests_of_significance as ts
 from assocframe.plans.base import query, rounded
-from assocframe.plans.views import view
+from assocframe.plans.views import ordered, view
 from assocframe.sources import plink
 
 
@@ -44,7 +44,7 @@ _LDSC_RUNS = 50
 
 
 def _ld_scores(spark, d):
-    return view(spark, d, "variants").where("Z is not null").select("job_index", "CHR", "POS", "row_id", (F.col("Z") * F.col("Z")).alias("chi2"), (1.0 + (F.col("POS") % 200).cast("double")).alias("ld"), "N")
+    return ordered(spark, d, "variants").where("Z is not null").select("job_index", "CHR", "POS", "row_id", (F.col("Z") * F.col("Z")).alias("chi2"), (1.0 + (F.col("POS") % 200).cast("double")).alias("ld"), "N")
 
 
 @query("agg_ldsc_jackknife", f"""WITH v AS (SELECT job_index, row_id, CHR, POS, Z * Z AS y, 1.0 + CAST(POS % 200 AS DOUBLE) AS l, N FROM variants WHERE Z IS NOT NULL),
@@ -96,7 +96,7 @@ def join_selected_pairs(spark, d):
 
 @query("join_ref_af", "WITH a AS (SELECT job_index, SNPID, arg_min(EAF, row_id) AS EAF FROM variants WHERE SNPID IS NOT NULL GROUP BY ALL) SELECT job_index, count(*) AS pairs, round(covar_samp(EAF, t.MAF) / (stddev_samp(EAF) * stddev_samp(t.MAF)), 8) AS r, round(100.0 * count(*) FILTER (WHERE abs(EAF - t.MAF) > 0.2) / count(*), 8) AS far_pct FROM a JOIN target t USING (SNPID) GROUP BY job_index")
 def join_ref_af(spark, d):
-    a = h.first_by(view(spark, d, "variants").where("SNPID is not null").select("job_index", "SNPID", "EAF", "row_id"), ["job_index", "SNPID"], "row_id")
+    a = h.first_by(ordered(spark, d, "variants").where("SNPID is not null").select("job_index", "SNPID", "EAF", "row_id"), ["job_index", "SNPID"], "row_id")
     j = a.join(view(spark, d, "target").select("SNPID", F.col("MAF").alias("ref")), "SNPID")
     return rounded(j.groupBy("job_index").agg(F.count(F.lit(1)).alias("pairs"), m.pearson(F.col("EAF"), F.col("ref")).alias("r"), m.rate(F.abs(F.col("EAF") - F.col("ref")) > 0.2).alias("far_pct")))
 
@@ -146,7 +146,7 @@ def scan_reference_bim(spark, d):
 def scan_sumstats_minimal(spark, d):
     from assocframe.operators.concordance import minimal
 
-    return minimal(view(spark, d, "variants")).select("job_index", "CHR", "POS", "EA", "NEA", "P")
+    return minimal(ordered(spark, d, "variants")).select("job_index", "CHR", "POS", "EA", "NEA", "P")
 
 
 @query("high_rate", "SELECT job_index, round(100.0 * count(*) FILTER (WHERE \"OR\" <= 0) / count(*), 8) AS bad_pct FROM variants GROUP BY job_index HAVING 100.0 * count(*) FILTER (WHERE \"OR\" <= 0) / count(*) >= 5")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assocframe.operators import concordance as cc
-from assocframe.plans.views import view
+from assocframe.plans import registry
+from assocframe.plans.views import ORDERS, view
 from assocframe.runtime import ship
 
 
@@ -61,3 +62,21 @@ def test_pairs_of_files_are_taken_without_a_join(spark, small):
                     break
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) > 0 and set(got) == want
+
+
+def test_pairs_of_rows_whose_id_is_beyond_a_bigint(spark, small, tmp_path):
+    """Orders' keys that differ by a multiple of what the view's other columns divide
+    by: the same pairs and p, and the order of the exact number."""
+    far = 97_000_000
+    for name, key in (("lineitem", "l_orderkey"), ("supplier", None), ("part", None)):
+        t = spark.read.parquet(f"{small}/{name}.parquet")
+        (t.withColumn(key, F.col(key) + far) if key else t).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("join_pairwise_p", "join_pairwise_full", "join_rsid_allele"):
+        one, other = (sorted(map(tuple, registry.queries()[name](spark, d).collect())) for d in (small, str(tmp_path)))
+        assert one == other and one, name
+    cols = "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_tax", "l_quantity"
+    rows = spark.createDataFrame([(o, p, n, s, 0.0, 1.0) for o in (0, 1, 9_223_372, 54_000_000) for p in (0, 99_999, 100_000, 7_200_000) for n in (1, 7) for s in (3, 999)], ", ".join(f"{c} {'double' if c in cols[4:] else 'long'}" for c in cols))
+    key = F.expr(ORDERS["variants"]["row_id"])
+    exact = lambda r: r.l_orderkey * 10**12 + r.l_partkey * 10**7 + r.l_linenumber * 10**6 + r.l_suppkey % 1000 * 1000 + 1
+    got = rows.select("*", key.alias("k")).collect()
+    assert [r.k.high * 10**12 + r.k.low for r in got] == [exact(r) for r in got] and all(0 <= r.k.low < 10**12 for r in got)
