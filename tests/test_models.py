@@ -226,3 +226,58 @@ def test_no_task_holds_a_folds_samples(spark, monkeypatch):
     for r in fe.evaluate(s, k, ["AGE"]).collect():
         for c, v in want[r.fold, r.threshold].asDict().items():
             assert r[c] == (v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-12)), c
+
+
+def test_tables_leave_no_shuffles_on_disk(spark, small, monkeypatch):
+    """What the components and the evaluation write drops its shuffles' files; a product
+    sends the places that have entries alone."""
+    import time
+    from pathlib import Path
+
+    from assocframe import runtime
+    from assocframe.operators import spectral
+
+    dirs = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in d.rglob("shuffle_*")}
+    before = files()
+    with runtime.shuffles_dropped(spark):
+        rows = runtime.materialise(spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count(), "counted")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and rows.count() == 997
+    seen = {}
+    plain = runtime.materialise
+    for module in (prs, fe):
+        monkeypatch.setattr(module, "materialise", lambda df, tag, *a, **b: (seen.__setitem__(tag, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")), plain(df, tag, *a, **b))[1])
+    monkeypatch.setattr(prs, "WHOLE", 20)
+    monkeypatch.setattr(spectral, "leading", lambda spark, entries, n, m, k: spark.range(n).select("id", *[F.lit(0.5)] * k))
+    found = prs.components(mq.dosages(spark, small))
+    s = found.select("IID", F.lit(1).alias("fold"), F.lit(1.0).alias("y"), "PC1")
+    fe.evaluate(s, found.select("IID", F.lit(0.1).alias("threshold"), F.col("PC1").alias("score")), ["PC1"])
+    assert {"known", "scaled", "dosages", "blocks"} <= set(seen) and set(seen.values()) == {"true"}
+    at, to, z = np.array([0, 2, 2, 1], np.int32), np.array([5, 9, 5, 5], np.int32), np.array([0.5, 2.0, 0.5, 4.0])
+    values, code = spectral._coded(z)
+    piece = list(spectral._sorted(iter([(0, (3, at.tobytes(), to.tobytes(), values.tobytes(), code.tobytes()))]), 3))
+    ((part, (places, sums)),) = spectral._times(iter([(0, np.eye(3)), *piece]))
+    assert part == 3 and dict(zip(places.tolist(), sums.tolist(), strict=True)) == {5: [0.5, 4.0, 0.5], 9: [0.0, 0.0, 2.0]}
+
+
+def test_close_values_by_a_filter(spark, monkeypatch):
+    """Values at the edge of a random matrix, and places with more entries than levels."""
+    from assocframe.operators import spectral
+
+    rng = np.random.default_rng(8)
+    z = np.where(rng.random((160, 200)) < 0.3, rng.normal(size=(160, 200)), 0.0)
+    z[:, 7] = rng.normal(size=160)
+    values, want = np.linalg.eigh(z @ z.T)
+    assert values[-8] > values[-1] / 2
+    for name, v in (("MOST", 40), ("KEPT", 2), ("LEVEL", 8), ("DEGREE", 3)):
+        monkeypatch.setattr(spectral, name, v)
+    steps, plain = [], spectral._combined
+    monkeypatch.setattr(spectral, "_combined", lambda of, by: (steps.append(len(by)) if of is None else 0, plain(of, by))[1])
+    df = spark.createDataFrame([(int(i), int(j), float(z[i, j])) for i, j in zip(*np.nonzero(z), strict=True)], "at long, to long, z double")
+    got = np.array(sorted(tuple(r) for r in spectral.leading(spark, df, 160, 200, 6).collect()))[:, 1:]
+    assert 3 in steps  # of the recurrence
+    assert np.abs((got * want[:, ::-1][:, :6]).sum(axis=0)) == pytest.approx(np.ones(6), abs=1e-9)
